@@ -10,14 +10,25 @@ from watchspan.schema import ADDRESS_FIELDS, MISSING_TEXTS
 
 def present(value: Column) -> Column:
     """The value, or NULL when it counts as missing."""
-    return F.when(value.isin(MISSING_TEXTS), F.lit(None)).otherwise(value)
+    return F.when(~value.isin(MISSING_TEXTS), value)
 
 
-def any_case(fields: Column, name: str) -> Column:
-    """Value of ``name``: the exact key, else the last key equal to it ignoring case."""
-    spelled = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name.lower())
-    return F.when(F.map_contains_key(fields, name), F.try_element_at(fields, F.lit(name))).otherwise(
-        F.try_element_at(spelled, F.lit(-1))["value"])
+def lower_names(fields: Column) -> Column:
+    """Field names in lower case, last one first."""
+    return F.reverse(F.transform(F.map_keys(fields), F.lower))
+
+
+def any_case(fields: Column, name: str, names: Column | None = None,
+             values: Column | None = None) -> Column:
+    """Value of ``name``: the exact key, else the last key equal to it ignoring case.
+
+    ``names`` and ``values`` may be passed when ``lower_names(fields)`` and the reversed values
+    are already at hand.
+    """
+    names = lower_names(fields) if names is None else names
+    values = F.reverse(F.map_values(fields)) if values is None else values
+    spelled = F.get(values, F.array_position(names, name.lower()).cast("int") - 1)
+    return F.coalesce(F.try_element_at(fields, F.lit(name)), spelled)
 
 
 def entity(fields: Column, host: Column) -> Column:
