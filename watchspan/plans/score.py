@@ -23,17 +23,19 @@ class Score:
     totals: DataFrame
 
 
-def alert_addresses(evidence: DataFrame, events: DataFrame) -> DataFrame:
-    """Addresses in the first events of every alert."""
+def first_evidence(evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """The first events of every alert with what scoring needs of them."""
+    shown = first_events(evidence, ADDRESS_EVENTS).select("alert_id", "event_id", "pos")
+    return shown.join(events.select("event_id", "host", "fields"), "event_id")
+
+
+def alert_addresses(shown: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*[present(any_case(F.col("fields"), f)) for f in ADDRESS_FIELDS]))
-    shown = first_events(evidence, ADDRESS_EVENTS).select("alert_id", "event_id")
-    return (shown.join(events.select("event_id", "fields"), "event_id")
-            .select("alert_id", F.explode(found).alias("address")).distinct())
+    return shown.select("alert_id", F.explode(found).alias("address")).distinct()
 
 
-def alert_hosts(evidence: DataFrame, events: DataFrame) -> DataFrame:
-    shown = first_events(evidence, HOST_EVENTS).select("alert_id", "event_id")
-    return shown.join(events.select("event_id", "host"), "event_id").select("alert_id", "host").distinct()
+def alert_hosts(shown: DataFrame) -> DataFrame:
+    return shown.filter(F.col("pos") < HOST_EVENTS).select("alert_id", "host").distinct()
 
 
 def involved(alerts: DataFrame, addresses: DataFrame, hosts: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -95,7 +97,8 @@ def totals(alerts: DataFrame, expected: DataFrame, unexpected: DataFrame, benign
 
 def score(alerts: DataFrame, evidence: DataFrame, events: DataFrame, scenarios: DataFrame,
           benign: DataFrame) -> Score:
-    involvement = involved(alerts, alert_addresses(evidence, events), alert_hosts(evidence, events), scenarios)
+    shown = first_evidence(evidence, events)
+    involvement = involved(alerts, alert_addresses(shown), alert_hosts(shown), scenarios)
     expected = expectations(alerts, involvement, scenarios)
     unexpected = unexpected_alerts(alerts, involvement, scenarios)
     return Score(expected, unexpected, totals(alerts, expected, unexpected, benign))

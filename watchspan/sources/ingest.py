@@ -55,6 +55,26 @@ def first_of_each(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
+def unstored(parsed: DataFrame, stored: DataFrame, files: list[str] | None = None) -> DataFrame:
+    """Events that are not in ``stored`` yet.
+
+    Only files that were read before can hold stored events. Events of all other files, which is
+    all of them in the usual case, pass without being compared or moved. ``files`` may name the
+    files ``parsed`` comes from (``DataFrame.inputFiles()`` of what was read) to save looking for
+    them in the data.
+    """
+    events = with_event_id(parsed)
+    origins = (parsed.sparkSession.createDataFrame([(f,) for f in files], "origin string")
+               if files is not None else parsed.select("origin").distinct())
+    again = stored.select("origin").distinct().join(origins, "origin", "left_semi")
+    if again.isEmpty():
+        return events
+    ids = stored.join(again, "origin", "left_semi").select("event_id")
+    return (events.join(again, "origin", "left_anti")
+            .unionByName(events.join(again, "origin", "left_semi")
+                         .join(ids, "event_id", "left_anti").select(*events.columns)))
+
+
 @dataclasses.dataclass(frozen=True)
 class EventTable:
     """Parquet files by source and day."""
@@ -72,27 +92,10 @@ class EventTable:
         return spark.read.parquet(self.path)
 
     def new_events(self, parsed: DataFrame, files: list[str] | None = None) -> DataFrame:
-        """Events that are not stored yet.
-
-        Only files that were read before can hold stored events. Events of all other files, which is
-        all of them in the usual case, pass without being compared or moved. ``files`` may name the
-        files ``parsed`` comes from (``DataFrame.inputFiles()`` of what was read) to save looking
-        for them in the data.
-        """
         spark = parsed.sparkSession
-        events = with_event_id(parsed)
         if not self.exists(spark):
-            return events
-        stored = self.read(spark)
-        origins = (spark.createDataFrame([(f,) for f in files], "origin string") if files is not None
-                   else parsed.select("origin").distinct())
-        again = stored.select("origin").distinct().join(origins, "origin", "left_semi")
-        if again.isEmpty():
-            return events
-        ids = stored.join(again, "origin", "left_semi").select("event_id")
-        return (events.join(again, "origin", "left_anti")
-                .unionByName(events.join(again, "origin", "left_semi")
-                             .join(ids, "event_id", "left_anti").select(*events.columns)))
+            return with_event_id(parsed)
+        return unstored(parsed, self.read(spark), files)
 
     def append(self, parsed: DataFrame, files: list[str] | None = None) -> None:
         """Files of even size per source and day, sorted by time inside."""
@@ -101,15 +104,15 @@ class EventTable:
          .write.mode("append").partitionBy("source", "day").parquet(self.path))
 
 
-def ingest_report(parsed: DataFrame, table: EventTable) -> DataFrame:
-    """Per file: events to be stored, events already there, lines not understood.
+def ingest_report(parsed: DataFrame, new: DataFrame) -> DataFrame:
+    """Per file: events that are new, events already there, lines not understood.
 
-    ``wrong_type`` is true for a file in which nothing was understood. Read it before appending.
+    ``wrong_type`` is true for a file in which nothing was understood.
     """
-    new = (table.new_events(parsed).groupBy("origin").agg(F.count(F.lit(1)).alias("stored")))
+    counts = new.groupBy("origin").agg(F.count(F.lit(1)).alias("n_new"))
     seen = parsed.groupBy("origin").agg(F.count_if("ok").alias("understood"),
                                         F.count_if(~F.col("ok")).alias("not_understood"))
-    stored = F.coalesce("stored", F.lit(0))
-    return seen.join(new, "origin", "left").select(
+    stored = F.coalesce("n_new", F.lit(0))
+    return seen.join(counts, "origin", "left").select(
         "origin", stored.alias("stored"), (F.col("understood") - stored).alias("duplicates"),
         "not_understood", ((F.col("understood") == 0) & (F.col("not_understood") > 0)).alias("wrong_type"))
