@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchspan.sources.lines import groups_of, parsed, whole_number, with_offset
+from watchspan.sources.lines import TOKEN, groups_of, once, parsed, whole_number, with_offset
 
 # What stands between quotes, with backslash escapes. Possessive and without alternation: the
 # matcher neither steps back nor recurses, however long the text is.
 QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 # Fixed format: address, ident, user, [time], "request", status, bytes, and maybe "referer" "agent".
-LINE = (r"(?sU)\A(\S+) \S+ (\S+) \[([^\]]+)\] " + QUOTED + r" ([0-9]{3}) ([0-9]+|-)"
+LINE = (rf"(?s)\A({TOKEN}+) {TOKEN}+ ({TOKEN}+) \[([^\]]+)\] " + QUOTED + r" ([0-9]{3}) ([0-9]+|-)"
         r"(?: " + QUOTED + " " + QUOTED + r")?.*\z")
 TIME = "d/MMM/yyyy:H:m:s"
 
@@ -40,7 +40,7 @@ def address_parts(uri: Column) -> tuple[Column, Column]:
 
 def access_events(lines: DataFrame, host: str = "web") -> DataFrame:
     """Normalise (origin, lineno, raw). The log does not name its host, so the caller does."""
-    split = lines.withColumn("part", groups_of(F.col("raw"), LINE, 8))
+    split = once(lines, part=groups_of(F.col("raw"), LINE, 8))
     part = [F.get("part", F.lit(i)) for i in range(8)]
     address, user, time, request, status, size, referer, agent = part
     method, uri, version = request_parts(request)

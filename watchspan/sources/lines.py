@@ -13,10 +13,27 @@ PARSED = ["origin", "lineno", "raw", "ok", "ts", "source", "host", "fields"]
 
 def parsed(lines: DataFrame, source: str, ts: Column, host: Column, fields: Column,
            ok: Column) -> DataFrame:
-    sound = F.coalesce(ok & ts.isNotNull(), F.lit(False))
-    return lines.select("origin", "lineno", "raw", sound.alias("ok"), F.when(sound, ts).alias("ts"),
-                        F.lit(source).alias("source"), F.when(sound, host).alias("host"),
-                        F.when(sound, fields).alias("fields"))
+    """``fields`` is only built for lines that are ``ok`` and have a time."""
+    timed = once(lines, ts=F.when(ok, ts))
+    sound = F.col("ts").isNotNull()
+    return timed.select("origin", "lineno", "raw", sound.alias("ok"), "ts", F.lit(source).alias("source"),
+                        F.when(sound, host).alias("host"), F.when(sound, fields).alias("fields"))
+
+
+# White space in any script, as a character class body.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TOKEN = rf"[^{SPACE}]"
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often they are read.
+
+    The optimizer copies the expression of a plain column into filters and into every other place
+    that reads it, which for parsing is most of the cost. It does not copy through an explode.
+    """
+    made = F.explode(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return df.withColumn("_made", made).withColumns(
+        {name: F.col("_made")[name] for name in columns}).drop("_made")
 
 
 def groups_of(text: Column, pattern: str, count: int) -> Column:
@@ -34,13 +51,19 @@ def with_offset(ts_text: Column, date_format: str) -> Column:
                       F.try_to_timestamp(ts_text, F.lit(f"{date_format} XXX")))
 
 
+_ISO_DAY = r"\A\d{4}-\d{2}-\d{2}"
+_ISO_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
+
+
 def iso_time(text: Column, offset: str) -> Column:
     """An ISO-8601 time; ``offset`` applies if it names no zone. NULL if it is not one."""
-    shape = r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?\z"
-    full = F.regexp_replace(F.regexp_replace(text, r"\A([^T ]{10})\z", "$1T00:00"),
-                            r"\A(.{10}.\d{2}:\d{2})(?!:)", "$1:00")
-    zoned = F.when(full.rlike(r"(?:Z|[+-]\d{2}:?\d{2})\z"), full).otherwise(F.concat(full, F.lit(offset)))
-    return F.when(text.rlike(shape), F.replace(zoned, F.lit(","), F.lit(".")).try_cast("timestamp"))
+    complete = text.rlike(rf"{_ISO_DAY}[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?{_ISO_ZONE}\z")
+    shortened = text.rlike(rf"{_ISO_DAY}(?:[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?{_ISO_ZONE}?\z")
+    timed = F.regexp_replace(F.regexp_replace(text, rf"{_ISO_DAY}(?![T ])", "$0T00:00"),
+                             rf"{_ISO_DAY}[T ]\d{{2}}:\d{{2}}(?!:)", "$0:00")
+    zoned = F.concat(F.replace(timed, F.lit(","), F.lit(".")),
+                     F.when(text.rlike(rf":\d{{2}}.*{_ISO_ZONE}\z"), "").otherwise(offset))
+    return F.when(complete, text.try_cast("timestamp")).when(shortened, zoned.try_cast("timestamp"))
 
 
 def whole_number(text: Column) -> Column:

@@ -8,32 +8,32 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchspan.sources.lines import groups_of, iso_time, parsed, whole_number, with_offset
+from watchspan.sources.lines import SPACE, TOKEN, groups_of, iso_time, once, parsed, whole_number
 
 # Fixed format: ISO or traditional syslog time, host, sshd with or without process id, message.
 HEADER = (r"(?s)\A(?:(\d{4}-\d{2}-\d{2}T[\d:.]+(?:Z|[+-]\d{2}:?\d{2})?)"
-          r"|([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}))\s+"
-          r"(\S+)\s+sshd(?:\[(\d+)\])?:\s+(.*)\z")
+          rf"|([A-Z][a-z]{{2}}[{SPACE}]+\d{{1,2}}[{SPACE}]+\d{{2}}:\d{{2}}:\d{{2}}))[{SPACE}]+"
+          rf"({TOKEN}+)[{SPACE}]+sshd(?:\[(\d+)\])?:[{SPACE}]+(.*)\z")
 
 ADDRESS = "([0-9a-fA-F:.]+)"
 # Message families in order of precedence, as (action, a text every such message holds,
-# pattern, and what its groups are).
+# pattern, and which group is the user, address, port, method and the "invalid user" mark).
 FAMILIES = [
     ("failed_password", "Failed ",
-     rf"Failed (password|publickey|keyboard-interactive/pam) for (invalid user )?(\S+) from {ADDRESS} port (\d+)",
-     ["auth_method", "invalid", "user", "src_ip", "src_port"]),
+     rf"Failed (password|publickey|keyboard-interactive/pam) for (invalid user )?({TOKEN}+) from {ADDRESS} port (\d+)",
+     ("$3", "$4", "$5", "$1", "$2")),
     ("accepted", "Accepted ",
-     rf"Accepted (password|publickey|keyboard-interactive/pam|hostbased|gssapi\S*) for (\S+) from {ADDRESS} port (\d+)",
-     ["auth_method", "user", "src_ip", "src_port"]),
+     rf"Accepted (password|publickey|keyboard-interactive/pam|hostbased|gssapi{TOKEN}*) for ({TOKEN}+) from {ADDRESS} port (\d+)",
+     ("$2", "$3", "$4", "$1", "")),
     ("invalid_user", "Invalid user ",
-     rf"Invalid user (\S*) from {ADDRESS}(?: port (\d+))?",
-     ["user", "src_ip", "src_port"]),
+     rf"Invalid user ({TOKEN}*) from {ADDRESS}(?: port (\d+))?",
+     ("$1", "$2", "$3", "", "invalid user ")),
     ("preauth_close", "[preauth]",
-     rf"(?:Connection closed by|Disconnected from) (?:authenticating |invalid )?(?:user (\S+) )?{ADDRESS}(?: port (\d+))?.*\[preauth\]",
-     ["user", "src_ip", "src_port"]),
+     rf"(?:Connection closed by|Disconnected from) (?:authenticating |invalid )?(?:user ({TOKEN}+) )?{ADDRESS}(?: port (\d+))?.*\[preauth\]",
+     ("$1", "$2", "$3", "", "")),
     ("max_auth", "maximum authentication attempts exceeded for ",
-     rf"maximum authentication attempts exceeded for (?:invalid user )?(\S+) from {ADDRESS} port (\d+)",
-     ["user", "src_ip", "src_port"]),
+     rf"maximum authentication attempts exceeded for (?:invalid user )?({TOKEN}+) from {ADDRESS} port (\d+)",
+     ("$1", "$2", "$3", "", "")),
 ]
 
 
@@ -45,30 +45,32 @@ def _offset(text: str) -> timezone:
     return timezone(shift if found[1] == "+" else -shift)
 
 
-def message_fields(message: Column) -> Column:
-    """action, user, src_ip, src_port, auth_method and invalid_user of the first family that fits.
+def message_parts(message: Column) -> Column:
+    """Action, user, address, port, method and "invalid user" mark of the first family that fits.
 
-    The text is searched for the pattern, which may stand anywhere in it.
+    The text is searched for the pattern, which may stand anywhere in it. One element, the message
+    itself, if no family fits.
     """
-    result = F.create_map(F.lit("action"), F.lit("other"))
-    for action, hint, pattern, names in reversed(FAMILIES):
-        groups = groups_of(message, rf"(?s)\A.*?{pattern}.*\z", len(names))
-        at = {name: F.get(groups, F.lit(i)) for i, name in enumerate(names)}
-        port = at["src_port"]
-        invalid = (F.lit("true") if action == "invalid_user" else
-                   F.when(at["invalid"] != "", "true").otherwise("false") if "invalid" in at else
-                   F.lit("false"))
-        values = {
-            "action": F.lit(action),
-            "user": at["user"],
-            "src_ip": at["src_ip"],
-            "src_port": F.when(port == "", "0").otherwise(whole_number(port)),
-            "auth_method": at.get("auth_method", F.lit("")),
-            "invalid_user": invalid,
-        }
-        found = F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)])
-        result = F.when(message.contains(hint) & (F.size(groups) == len(names)), found).otherwise(result)
-    return result
+    found = F.when(F.lit(False), message)
+    for action, hint, pattern, groups in FAMILIES:
+        fits = message.contains(hint) & message.rlike(f"(?s){pattern}")
+        found = found.when(fits, F.regexp_replace(
+            message, rf"(?s)\A.*?{pattern}.*\z", "\n".join([action, *groups])))
+    return F.split(found.otherwise(message), "\n", -1)
+
+
+def message_fields(parts: Column) -> Column:
+    action, user, address, port, method, invalid = [F.get(parts, F.lit(i)) for i in range(6)]
+    values = {
+        "action": action,
+        "user": user,
+        "src_ip": address,
+        "src_port": F.when(port == "", "0").otherwise(whole_number(port)),
+        "auth_method": method,
+        "invalid_user": F.when(invalid == "", "false").otherwise("true"),
+    }
+    known = F.create_map(*[c for name, value in values.items() for c in (F.lit(name), value)])
+    return F.when(F.size(parts) == 6, known).otherwise(F.create_map(F.lit("action"), F.lit("other")))
 
 
 def sshd_events(lines: DataFrame, host: str = "", year: int | None = None, offset: str = "+00:00",
@@ -82,19 +84,20 @@ def sshd_events(lines: DataFrame, host: str = "", year: int | None = None, offse
     colon_offset = f"{offset[:3]}:{offset[-2:]}"
     now = now or datetime.now(timezone.utc)
     year = year or now.astimezone(zone).year
-    split = lines.withColumn("part", groups_of(F.col("raw"), HEADER, 5))
     iso, traditional, named_host, process, message = [F.get("part", F.lit(i)) for i in range(5)]
 
     def in_year(number: int) -> Column:
-        text = F.concat(F.lit(f"{number} "), F.regexp_replace(traditional, r"\s+", " "),
+        text = F.concat(F.lit(f"{number} "), F.regexp_replace(traditional, rf"[{SPACE}]+", " "),
                         F.lit(f" {colon_offset}"))
-        return F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss XXX"))
+        return F.when(traditional != "", F.try_to_timestamp(text, F.lit("yyyy MMM d HH:mm:ss XXX")))
 
+    split = once(lines, part=groups_of(F.col("raw"), HEADER, 5))
+    split = once(split, found=message_parts(message), this_year=in_year(year))
     latest = F.timestamp_micros(F.lit(int((now.timestamp() + 86400) * 1_000_000)))
-    this_year = in_year(year)
-    rolled = F.when(this_year > latest, F.coalesce(in_year(year - 1), this_year)).otherwise(this_year)
+    rolled = F.when(F.col("this_year") > latest, F.coalesce(in_year(year - 1), F.col("this_year"))).otherwise(
+        F.col("this_year"))
     ts = F.when(iso != "", iso_time(iso, colon_offset)).otherwise(rolled)
     base = F.create_map(F.lit("message"), message, F.lit("process_id"), process,
                         F.lit("service"), F.lit("sshd"))
     return parsed(split, "ssh", ts, F.lit(host) if host else named_host,
-                  F.map_concat(base, message_fields(message)), F.size("part") == 5)
+                  F.map_concat(base, message_fields(F.col("found"))), F.size("part") == 5)

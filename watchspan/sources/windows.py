@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchspan.sources.lines import iso_time, parsed, read_lines
+from watchspan.sources.lines import iso_time, once, parsed, read_lines
 
 TEXT_MAP = "map<string,string>"
 # Keys of the flat layout, the first one present counts.
@@ -23,7 +23,7 @@ NESTED_KEYS = {"event_id": "event_id", "computer": "computer_name", "channel": "
                "provider": "provider_name"}
 # Names that describe the event itself and win over its data.
 ENVELOPE = ["EventID", "Channel", "Provider", "Computer"]
-PROCESS_CREATED = "4688"
+PROCESS_CREATED = 4688
 # Epoch numbers above this are milliseconds.
 MILLISECONDS_ABOVE = 1e11
 
@@ -42,63 +42,70 @@ def event_time(text: Column, is_number: Column) -> Column:
     """Epoch seconds or milliseconds, ``/Date(milliseconds)/`` or ISO-8601, UTC unless it says so."""
     number = text.try_cast("double")
     seconds = F.when(number > MILLISECONDS_ABOVE, number / 1000).otherwise(number)
-    legacy = F.regexp_extract(text, r"\A\s*/Date\((\d+)\)/\s*\z", 1)
-    numeric = text.rlike(r"\A-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z")
-    return (F.when(numeric & is_number, F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("bigint")))
-            .when(legacy != "", F.timestamp_millis(legacy.try_cast("bigint")))
-            .otherwise(iso_time(F.regexp_replace(text, r"\A\s+|\s+\z", ""), "+00:00")))
+    micros = F.round(seconds * 1_000_000).try_cast("bigint")
+    legacy = r"\A\s*/Date\((\d+)\)/\s*\z"
+    # Nested, so that it is only looked up for the few texts that are numbers.
+    return (F.when(text.rlike(r"\A-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z"),
+                   F.when(is_number, F.timestamp_micros(micros)))
+            .when(text.rlike(legacy), F.timestamp_millis(F.regexp_extract(text, legacy, 1).try_cast("bigint")))
+            .when(text.rlike(r"\A\s|\s\z"), iso_time(F.regexp_replace(text, r"\A\s+|\s+\z", ""), "+00:00"))
+            .otherwise(iso_time(text, "+00:00")))
 
 
 def event_number(text: Column, is_number: Column) -> Column:
-    whole = F.when(text.rlike(r"\A\s*[+-]?\d+\s*\z"), F.trim(text).try_cast("bigint"))
-    return F.coalesce(whole, F.when(text.rlike(r"\A[+-]?\d+\.\d+\z") & is_number,
-                                    text.try_cast("double").try_cast("bigint")))
+    return (F.when(text.rlike(r"\A\s*[+-]?\d+\s*\z"), F.trim(text).try_cast("bigint"))
+            .when(text.rlike(r"\A[+-]?\d+\.\d+\z"),
+                  F.when(is_number, text.try_cast("double").try_cast("bigint"))))
 
 
-def _last_of_each_key(data: Column) -> Column:
-    entries = F.map_entries(data)
-    repeated = F.size(F.array_distinct(F.map_keys(data))) < F.size(data)
+ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def _last_of_each_key(entries: Column) -> Column:
+    keys = F.transform(entries, lambda e: e["key"])
     last = F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.when(repeated, F.map_from_entries(last)).otherwise(data)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(entries), last).otherwise(entries)
+
+
+def _entry(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("key"), value.alias("value"))
 
 
-def _fields(data: Column, number: Column, channel: Column, provider: Column, computer: Column) -> Column:
-    """Event data and envelope in one map; the envelope wins, NULL data is dropped."""
-    kept = F.map_filter(_last_of_each_key(data),
-                        lambda name, value: value.isNotNull() & ~name.isin(ENVELOPE))
-    eid = number.cast("string")
-    envelope = F.create_map(F.lit("EventID"), eid, F.lit("Channel"), channel, F.lit("Provider"), provider,
-                            F.lit("Computer"), computer)
+def _fields(kept: Column, number: Column, channel: Column, provider: Column, computer: Column) -> Column:
+    """Event data and envelope in one map. New processes get an image if the data has none."""
+    values = (number.cast("string"), channel, provider, computer)
+    envelope = F.array(*[_entry(name, value) for name, value in zip(ENVELOPE, values)])
 
-    def default(name: str, origin: str) -> Column:
-        value = F.coalesce(F.try_element_at(kept, F.lit(origin)), F.lit(""))
-        wanted = (eid == PROCESS_CREATED) & ~F.map_contains_key(kept, name)
-        return F.when(wanted, F.create_map(F.lit(name), value)).otherwise(
-            F.create_map().cast(TEXT_MAP))
+    def named(origin: str) -> Column:
+        return F.coalesce(F.get(F.filter(kept, lambda e: e["key"] == origin), F.lit(0))["value"], F.lit(""))
 
-    return F.map_concat(kept, envelope, default("Image", "NewProcessName"),
-                        default("ParentImage", "ParentProcessName"))
+    images = F.filter(F.array(_entry("Image", named("NewProcessName")),
+                              _entry("ParentImage", named("ParentProcessName"))),
+                      lambda image: ~F.exists(kept, lambda e: e["key"] == image["key"]))
+    return F.map_from_entries(F.when(number == PROCESS_CREATED, F.concat(kept, envelope, images))
+                              .otherwise(F.concat(kept, envelope)))
 
 
 def _finished(rows: DataFrame, host: str, ts: Column, number: Column, channel: Column, provider: Column,
               computer: Column, data: Column) -> DataFrame:
-    rows = rows.withColumns({
-        "ts": ts, "number": number, "data": F.coalesce(data, F.create_map().cast(TEXT_MAP)),
-        **{name: F.coalesce(value, F.lit("")) for name, value in
-           (("channel", channel), ("provider", provider), ("computer", computer))}})
+    """``data`` are the entries of the event data; the envelope wins over them, NULL is dropped."""
+    rows = once(rows, number=number, data=F.coalesce(data, F.array().cast(ENTRIES)),
+                channel=F.coalesce(channel, F.lit("")), provider=F.coalesce(provider, F.lit("")),
+                computer=F.coalesce(computer, F.lit("")))
+    rows = once(rows, kept=F.filter(_last_of_each_key(F.col("data")),
+                                    lambda e: e["value"].isNotNull() & ~e["key"].isin(ENVELOPE)))
     named = F.when(F.col("computer") == "", "windows").otherwise(F.col("computer"))
-    fields = _fields(F.col("data"), F.col("number"), F.col("channel"), F.col("provider"), F.col("computer"))
-    return parsed(rows, "windows", F.col("ts"), F.lit(host) if host else named, fields,
-                  F.col("number").isNotNull())
+    fields = _fields(F.col("kept"), F.col("number"), F.col("channel"), F.col("provider"), F.col("computer"))
+    return parsed(rows, "windows", ts, F.lit(host) if host else named, fields, F.col("number").isNotNull())
 
 
 def windows_json_events(lines: DataFrame, host: str = "") -> DataFrame:
     """Normalise (origin, lineno, raw) with one JSON object per line."""
     whole = F.when(F.col("raw").rlike(r"\}\s*\z"), F.from_json("raw", TEXT_MAP))
-    rows = lines.withColumn("doc", whole)
-    rows = rows.withColumn("winlog", F.when(F.try_element_at("doc", F.lit("winlog")).startswith("{"),
-                                            F.from_json(F.try_element_at("doc", F.lit("winlog")), TEXT_MAP)))
+    rows = once(lines, doc=whole)
+    rows = once(rows, winlog=F.when(F.try_element_at("doc", F.lit("winlog")).startswith("{"),
+                                    F.from_json(F.try_element_at("doc", F.lit("winlog")), TEXT_MAP)))
     nested = F.col("winlog").isNotNull()
 
     def flat(what: str) -> Column:
@@ -119,17 +126,17 @@ def windows_json_events(lines: DataFrame, host: str = "") -> DataFrame:
     def either(what: str) -> Column:
         return F.when(nested, F.try_element_at("winlog", F.lit(NESTED_KEYS[what]))).otherwise(flat(what))
 
-    rows = rows.withColumns({
-        "time_text": F.when(nested, F.try_element_at("doc", F.lit("@timestamp"))).otherwise(flat("time")),
-        "id_text": either("event_id"),
-        "data_text": F.when(nested, F.try_element_at("winlog", F.lit("event_data"))).otherwise(
-            F.try_element_at("doc", F.lit("EventData")))})
+    rows = once(
+        rows, time_text=F.when(nested, F.try_element_at("doc", F.lit("@timestamp"))).otherwise(flat("time")),
+        id_text=either("event_id"),
+        data_text=F.when(nested, F.try_element_at("winlog", F.lit("event_data"))).otherwise(
+            F.try_element_at("doc", F.lit("EventData"))))
     time_is_number = F.when(nested, _is_number(F.col("raw"), "$['@timestamp']")).otherwise(flat_is_number("time"))
     id_is_number = F.when(nested, _is_number(F.col("raw"), "$.winlog.event_id")).otherwise(
         flat_is_number("event_id"))
     return _finished(rows, host, event_time(F.col("time_text"), time_is_number),
                      event_number(F.col("id_text"), id_is_number), either("channel"), either("provider"),
-                     either("computer"), F.from_json("data_text", TEXT_MAP))
+                     either("computer"), F.map_entries(F.from_json("data_text", TEXT_MAP)))
 
 
 def _unescaped(text: Column) -> Column:
@@ -161,26 +168,22 @@ def windows_xml_events(chunks: DataFrame, host: str = "") -> DataFrame:
 
     Namespaces are ignored; an element that is not well formed is not understood.
     """
-    rows = chunks.withColumn("doc", F.from_xml("raw", XML_EVENT))
+    rows = once(chunks, doc=F.from_xml("raw", XML_EVENT), others=_other_leaves(F.col("raw")))
     system = F.col("doc")["System"]
     data = F.transform(F.coalesce(F.col("doc")["EventData"]["Data"], F.array()), lambda d: F.struct(
         F.when(F.coalesce(d["_Name"], F.lit("")) != "", d["_Name"]).otherwise("Data").alias("key"),
         F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
-    rows = rows.withColumn("pairs", F.concat(data, _other_leaves(F.col("raw"))))
-    pairs = F.col("pairs")
-    last = F.filter(pairs, lambda e, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
     no = F.lit(False)
     return _finished(rows, host, event_time(system["TimeCreated"]["_SystemTime"], no),
                      event_number(system["EventID"], no), system["Channel"], system["Provider"]["_Name"],
-                     system["Computer"], F.map_from_entries(last))
+                     system["Computer"], F.concat(data, F.col("others")))
 
 
 def xml_chunks(rows: DataFrame) -> DataFrame:
     """Text that ended at ``</Event>``, from the opening of the element on; other text is dropped."""
-    start = F.regexp_extract(F.col("raw"), r"(?s)(<Event[ >].*)", 1)
-    return rows.withColumn("raw", start).filter(F.col("raw") != "").withColumn(
-        "raw", F.concat("raw", F.lit("</Event>")))
+    start = F.regexp_instr(F.col("raw"), F.lit("<Event[ >]"))
+    return once(rows, start=start).filter("start > 0").withColumn(
+        "raw", F.concat(F.substring("raw", F.col("start"), F.length("raw")), F.lit("</Event>"))).drop("start")
 
 
 def read_windows(spark: SparkSession, paths: str | Iterable[str], host: str = "",
