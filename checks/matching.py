@@ -9,6 +9,7 @@ from checks.tables import address, as_sshd, events, table, text_id, utc
 from watchspan.functions.network import in_network, ipv4_value
 from watchspan.operators.matching import match_events
 from watchspan.rules import check_rules, rules_from_text
+from watchspan.session import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,7 +47,7 @@ def stored_texts(rows: DataFrame, key: str, raw: str, *columns: str) -> DataFram
 
 
 def documents(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn(
+    rows = spread(table(spark, sf_dir, "documents")).withColumn(
         "note", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, "").otherwise("given"))
     return stored_texts(rows, "doc_id", "text", "text", "lang", "source", "n_chars", "note")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import ADDRESS_SQL, address, events, table, utc
 from watchspan.schema import iso_seconds
+from watchspan.session import spread
 from watchspan.sources.access import access_events
 from watchspan.sources.ingest import first_of_each, ingest_report, rejects, unstored, with_event_id
 from watchspan.sources.sshd import sshd_events
@@ -38,7 +39,7 @@ def lines(rows: DataFrame, raw: Column, key: str = "event_id", origin: Column |
 
 
 def with_k(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return spread(events(spark, sf_dir)).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def access_line() -> Column:
@@ -96,7 +97,7 @@ def access_log_decoding(spark, sf_dir):
     coded = F.url_encode("text")
     line = F.concat(F.lit('1.2.3.4 - - [01/Jan/2024:00:00:00 +0000] "GET '), coded, F.lit("?"), coded,
                     F.lit('+100%+a%zz HTTP/1.1" 200 1 "-" "-"'))
-    read = access_events(lines(table(spark, sf_dir, "documents"), line, "doc_id"))
+    read = access_events(lines(spread(table(spark, sf_dir, "documents")), line, "doc_id"))
     return read.filter("ok").select(F.col("lineno").alias("doc_id"), field("cs-uri-stem").alias("stem"),
                                     field("cs-uri-query").alias("query"))
 
@@ -271,7 +272,7 @@ def windows_xml(spark, sf_dir):
         xml_text(F.col("text")), F.lit("</Data><Data Name='NewProcessName'>"), "role",
         F.lit("</Data></EventData><UserData><a:Box xmlns:a='u'><a:Turn>"), F.col("turn"),
         F.lit("</a:Turn><Extra> v&lt;1 </Extra></a:Box></UserData>"))
-    rows = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = spread(table(spark, sf_dir, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     read = windows_xml_events(xml_chunks(lines(rows, row, "id")))
     return read.filter("ok").select(
         "lineno", F.unix_micros("ts").alias("ts_us"), field("EventID").cast("bigint").alias("number"),

@@ -37,4 +37,4 @@ def rules(text):
 
 
 def alerts(spark, rule_list, rows):
-    return by_time(detect(event_table(spark, rows), rule_list, lambda df: df).alerts).collect()
+    return by_time(detect(event_table(spark, rows), rule_list).alerts).collect()

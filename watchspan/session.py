@@ -44,3 +44,12 @@ def stable_storage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="watchspan-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let all tasks work on rows that come from a few files, which may not be splittable.
+
+    With as many files as tasks, reading already spreads them and nothing is moved.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
