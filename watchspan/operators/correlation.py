@@ -53,7 +53,11 @@ def merge_of(rule: str) -> Correlation:
 def rule_list(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table with one row per rule reference; broadcast while the list is short."""
     table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_REFERENCES else table
+    return small(table, len(rows))
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_REFERENCES else table
 
 
 def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:

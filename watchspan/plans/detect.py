@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from watchspan.operators.bursts import find_bursts
 from watchspan.operators.chains import find_chains
-from watchspan.operators.correlation import Correlation, merge_of, rule_list
+from watchspan.operators.correlation import Correlation, merge_of, rule_list, small
 from watchspan.operators.evidence import (
     burst_members, chain_members, events_behind, first_events, once_each, union_all)
 from watchspan.operators.matching import match_events
@@ -102,7 +102,7 @@ def make_alerts(found: Found, rules: list[Rule]) -> Detection:
         "rule", "title", "level", "level_rank", "description", "tags", "kind")
     names = rule_list(spark, [(r.name, r.correlation.group_by if r.correlation else ["entity"])
                               for r in rules], "rule string, names array<string>")
-    alerts = found.bursts.join(F.broadcast(loud) if len(rules) < 50_000 else loud, "rule").join(
+    alerts = found.bursts.join(small(loud, len(rules)), "rule").join(
         names, "rule")
     evidence = found.evidence.filter(~F.col("rule").isin(list(silenced(rules))))
     listed = (first_events(evidence, EVIDENCE_IN_ALERT).groupBy("alert_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +30,27 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="watchspan-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def stable_storage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the checkpoint folder.
+    """Write ``df`` to the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; the files outlive a lost
-    executor. Only a local session without that setting gets a folder of its own.
+    What is read again by several steps is computed once, the files outlive a lost executor, and
+    later steps read only the columns they need and know the size of what they join.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="watchspan-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/watchspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -97,11 +97,15 @@ class EventTable:
             return with_event_id(parsed)
         return unstored(parsed, self.read(spark), files)
 
-    def append(self, parsed: DataFrame, files: list[str] | None = None) -> None:
-        """Files of even size per source and day, sorted by time inside."""
-        (self.new_events(parsed, files).hint("rebalance", "source", "day")
-         .sortWithinPartitions("source", "day", "ts_us")
-         .write.mode("append").partitionBy("source", "day").parquet(self.path))
+    def append(self, parsed: DataFrame, files: list[str] | None = None, gather: bool = False) -> None:
+        """Store new events, sorted by time inside each file.
+
+        A split of a log covers few days, so every task writes a few files of good size and nothing
+        is moved. ``gather`` brings rows of a day together first; use it for many tiny inputs.
+        """
+        new = self.new_events(parsed, files)
+        (new.hint("rebalance", "source", "day") if gather else new).sortWithinPartitions(
+            "source", "day", "ts_us").write.mode("append").partitionBy("source", "day").parquet(self.path)
 
 
 def ingest_report(parsed: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchspan.session import stable_storage
+
+# A summary row takes some 100 bytes. With splits of the usual 128 MB this many cover 250 TB.
+BROADCAST_SPLITS = 2_000_000
 # Columns every normaliser returns. ``ok`` is false for a line that was not understood.
 PARSED = ["origin", "lineno", "raw", "ok", "ts", "source", "host", "fields"]
 
@@ -75,7 +79,8 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str], line_sep: str |
     """(origin, lineno, raw) of every line in the files, blank ones left out but counted.
 
     Files are read in splits by many tasks. Rows are numbered inside their split, and a summary of
-    one row per split turns that into line numbers of the file, so no line is moved for it.
+    one row per split, counted beforehand, turns that into line numbers of the file. As long as it
+    is short enough to be sent to all tasks, no line is moved for it.
     Bytes that are no UTF-8 become U+FFFD.
     """
     chosen = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
@@ -88,6 +93,9 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str], line_sep: str |
               .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
               .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .select("origin", "block", "first_id", "earlier"))
+    splits = stable_storage(splits)
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     return (rows.filter(~F.col("value").rlike(r"\A\s*\z"))
             .join(splits, ["origin", "block"])
             .select("origin", (F.col("earlier") + F.col("row_id") - F.col("first_id") + 1).alias("lineno"),
