@@ -10,8 +10,7 @@ from watchspan.operators.bursts import find_bursts
 from watchspan.operators.chains import find_chains
 from watchspan.operators.correlation import Correlation
 from watchspan.operators.evidence import first_events
-from watchspan.plans.detect import correlate, correlation_levels, make_alerts
-from watchspan.operators.matching import match_events
+from watchspan.plans.detect import detect
 from watchspan.rules import check_rules, rules_from_text
 
 QUERIES: dict = {}
@@ -291,9 +290,7 @@ SELECT rule, level, entity, first_us, trigger_us, last_us, n_events FROM spans J
 
 
 def detected(spark, sf_dir):
-    rules = check_rules(rules_from_text(RULES))
-    found = correlate(match_events(as_sshd(spark, sf_dir), rules), correlation_levels(rules))
-    return make_alerts(found, rules)
+    return detect(as_sshd(spark, sf_dir), check_rules(rules_from_text(RULES)))
 
 
 @register("detect_alerts", ALERTS_SQL)

@@ -113,3 +113,19 @@ def test_one_group_over_many_slices_equals_one_slice(spark):
                    for r in find_bursts(rows, [every, kinds]).collect())
     last = 19_999 * 300_000
     assert found == [("d", ["hot"], 0, 600_000, last, 20_000), ("n", [], 0, 900_000, last, 20_000)]
+
+
+def test_leaving_out_idle_groups_changes_nothing(matches):
+    windowed = [Correlation("n", "event_count", ["a", "c"], ["g"], 2 * UNIT, "gte", 4),
+                Correlation("q", "event_count", ["a"], ["g"], 2 * UNIT, "eq", 0),
+                Correlation("e", "event_count", ["a", "b"], ["g"], 2 * UNIT, "eq", 3),
+                Correlation("d", "value_count", ["a", "b"], ["g"], 2 * UNIT, "gt", 2, "v"),
+                Correlation("t", "temporal", ["a", "b", "c"], ["g"], 3 * UNIT)]
+    plain, pruned = (collected(find_bursts(matches, windowed, prune), "first_us", "trigger_us", "last_us",
+                               "n_matches") for prune in (False, True))
+    assert plain == pruned and {r[0] for r in plain} == {"n", "e", "d", "t"}
+    ordered = [Correlation("o", "temporal_ordered", ["a", "b"], ["g"], UNIT),
+               Correlation("p", "temporal_ordered", ["a", "b", "a"], ["g"], 2 * UNIT)]
+    plain, pruned = (collected(find_chains(matches, ordered, prune), "first_us", "last_us")
+                     for prune in (False, True))
+    assert plain == pruned and {r[0] for r in plain} == {"o", "p"}

@@ -13,14 +13,16 @@ session and slice is ever brought together per group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchspan.operators import slices
-from watchspan.operators.correlation import Correlation, members, rule_list
+from watchspan.operators.correlation import Correlation, members, rule_list, without_idle_groups
 
 GROUP = ["corr", "grp"]
-SLICE = [*GROUP, "slice"]
+SLICE = ["part", *GROUP, "slice"]
 
 
 def _conditions(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
@@ -38,14 +40,16 @@ def _counted_instants(rows: DataFrame, conditions: DataFrame) -> DataFrame:
         F.lit(False).alias("none_first"), "span_us", "op", "threshold")
 
 
-def _distinct_instants(rows: DataFrame, conditions: DataFrame) -> DataFrame:
+def _distinct_instants(rows: DataFrame, conditions: DataFrame, asks_for_none: bool) -> DataFrame:
     """A value is live while its latest occurrence is at most one span old.
 
     It comes up where the value was not live before and goes down one span after an occurrence
-    that no other follows in time. A match without a value takes part but raises nothing.
+    that no other follows in time. A match without a value takes part but raises nothing. Only a
+    condition that asks for no values at all needs to know whether such a match comes first.
     """
+    first_id = F.min("match_id") if asks_for_none else F.lit(None).cast("string")
     per_value = (rows.groupBy(*GROUP, "value", "ts_us")
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("match_id").alias("first_id"))
+                 .agg(F.count(F.lit(1)).alias("n"), first_id.alias("first_id"))
                  .join(conditions, "corr"))
     in_value = Window.partitionBy(*SLICE, "value").orderBy("ts_us")
     gap_before = F.col("ts_us") - F.lag("ts_us").over(in_value)
@@ -56,23 +60,29 @@ def _distinct_instants(rows: DataFrame, conditions: DataFrame) -> DataFrame:
         "up": (has_value & F.coalesce(gap_before > span, F.lit(True))).cast("bigint"),
         "down": (has_value & F.coalesce(gap_after > span, F.lit(True))).cast("bigint"),
     })
+    none_first = (F.min(F.struct("first_id", (~has_value).alias("none")))["none"] if asks_for_none
+                  else F.lit(False))
     return (marked.groupBy(*SLICE, "own", "ts_us", "span_us", "op", "threshold")
             .agg(F.sum("n").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"),
-                 F.min(F.struct("first_id", (~has_value).alias("none"))).alias("first"))
-            .select(*SLICE, "own", "ts_us", "n", "up", "down",
-                    F.col("first")["none"].alias("none_first"), "span_us", "op", "threshold"))
+                 none_first.alias("none_first"))
+            .select(*SLICE, "own", "ts_us", "n", "up", "down", "none_first", "span_us", "op", "threshold"))
 
 
 def _live_counts(instants: DataFrame) -> DataFrame:
-    """Per instant: live count before and after it, and the oldest match still in the window."""
+    """Per instant: live count before and after it, and the oldest match still in the window.
+
+    ``n_in`` and ``n_out`` are the matches that entered and left the window so far in this slice,
+    ``n_own`` those that entered and belong to the slice itself.
+    """
     in_slice = Window.partitionBy(*SLICE)
     nothing = F.lit(None).cast("bigint")
+    none = F.lit(0).cast("bigint")
     arrival = F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("expiry"),
-                       F.col("up").alias("step"), F.col("n").alias("n_step"),
+                       F.col("up").alias("step"), F.col("n").alias("entered"), none.alias("left"),
                        nothing.alias("oldest_next"))
     # Sorts after arrivals of the same instant: the window includes its far end.
     expiry = F.struct((F.col("ts_us") + F.col("span_us")).alias("at"), F.lit(1).alias("expiry"),
-                      (-F.col("down")).alias("step"), (-F.col("n")).alias("n_step"),
+                      (-F.col("down")).alias("step"), none.alias("entered"), F.col("n").alias("left"),
                       F.col("following").alias("oldest_next"))
     changes = (instants
                .withColumn("following", F.lead("ts_us").over(in_slice.orderBy("ts_us")))
@@ -86,9 +96,9 @@ def _live_counts(instants: DataFrame) -> DataFrame:
     return (changes
             .withColumns({
                 "live": F.sum("step").over(so_far),
-                "n_live": F.sum("n_step").over(so_far),
-                "n_so_far": F.sum(F.when((F.col("expiry") == 0) & F.col("own"), F.col("n"))
-                                  .otherwise(0)).over(so_far),
+                "n_in": F.sum("entered").over(so_far),
+                "n_out": F.sum("left").over(so_far),
+                "n_own": F.sum(F.when(F.col("own"), F.col("entered")).otherwise(0)).over(so_far),
                 "oldest": F.coalesce(F.last("oldest_next", ignorenulls=True).over(so_far),
                                      F.first("at").over(so_far)),
                 "previous": F.max(arrived).over(earlier),
@@ -97,7 +107,10 @@ def _live_counts(instants: DataFrame) -> DataFrame:
 
 
 def _session_pieces(live: DataFrame) -> DataFrame:
-    """One row per session and slice; ``began`` is NULL where the session came from earlier slices."""
+    """One row per session and slice; ``began`` is NULL where the session came from earlier slices.
+
+    What holds at the first firing is found as a minimum, since all of it only grows with time.
+    """
     before = F.col("live") - F.col("up")
     limit = F.col("threshold")
     fires = (F.when(F.col("op") == "gte", F.col("live") >= limit)
@@ -106,14 +119,19 @@ def _session_pieces(live: DataFrame) -> DataFrame:
     opens = F.coalesce(F.col("ts_us") - F.col("previous") > F.col("span_us"), F.lit(True))
     so_far = (Window.partitionBy(*SLICE).orderBy("at", "expiry")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    firing = F.struct(F.col("ts_us").alias("at_us"), F.col("oldest"), F.col("n_live"),
-                      F.col("n_so_far"))
+    at_firing = {"fired_at": "ts_us", "fired_oldest": "oldest", "fired_in": "n_in", "fired_out": "n_out",
+                 "fired_own": "n_own"}
     return (live
-            .withColumn("began", F.max(F.when(opens, F.col("ts_us"))).over(so_far))
+            .withColumns({"began": F.max(F.when(opens, F.col("ts_us"))).over(so_far), "fires": fires})
             .groupBy(*SLICE, "began")
             .agg(F.min("ts_us").alias("piece_first"), F.max("ts_us").alias("piece_last"),
-                 F.sum("n").alias("piece_n"), F.max("n_so_far").alias("n_at_end"),
-                 F.min(F.when(fires, firing)).alias("firing")))
+                 F.sum("n").alias("piece_n"), F.max("n_own").alias("own_at_end"),
+                 *[F.min(F.when(F.col("fires"), F.col(value))).alias(name)
+                   for name, value in at_firing.items()])
+            .withColumn("firing", F.when(F.col("fired_at").isNotNull(), F.struct(
+                F.col("fired_at").alias("at_us"), F.col("fired_oldest").alias("oldest"),
+                (F.col("fired_in") - F.col("fired_out")).alias("n_live"),
+                F.col("fired_own").alias("n_own")))))
 
 
 def _join_pieces(pieces: DataFrame) -> DataFrame:
@@ -121,7 +139,7 @@ def _join_pieces(pieces: DataFrame) -> DataFrame:
     in_session = Window.partitionBy(*GROUP, "session")
     fired = F.col("fired")
     counted = (F.when(F.col("piece_first") > fired["at_us"], F.col("piece_n"))
-               .when(F.col("piece_last") >= fired["at_us"], F.col("n_at_end") - fired["n_so_far"])
+               .when(F.col("piece_last") >= fired["at_us"], F.col("own_at_end") - fired["n_own"])
                .otherwise(0))
     return (pieces
             .withColumn("session", F.max("began").over(
@@ -141,13 +159,26 @@ def with_alert_id(bursts: DataFrame) -> DataFrame:
     return bursts.withColumn("alert_id", F.sha1(F.to_json(F.struct("rule", "grp", "first_us"))))
 
 
-def find_bursts(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
-    """Bursts of all given event_count, value_count, temporal and merge correlations."""
-    counting = [c for c in correlations if not c.distinct]
+def find_bursts(matches: DataFrame, correlations: list[Correlation], prune: bool = False) -> DataFrame:
+    """Bursts of all given event_count, value_count, temporal and merge correlations.
+
+    ``prune`` leaves out groups that cannot fire before anything is put in order.
+    """
+    def rows_of(chosen: list[Correlation]) -> DataFrame:
+        rows = members(matches, chosen)
+        return without_idle_groups(rows, chosen) if prune else rows
+
+    merges = [c for c in correlations if c.kind == "merge"]
+    counting = [c for c in correlations if c.kind == "event_count"]
     distinct = [c for c in correlations if c.distinct]
-    instants = None
-    for chosen, build in ((counting, _counted_instants), (distinct, _distinct_instants)):
-        if chosen:
-            part = build(members(matches, chosen), _conditions(matches, chosen))
-            instants = part if instants is None else instants.unionByName(part)
+    parts = []
+    if merges or counting:
+        rows = [members(matches, merges)] if merges else []
+        rows += [rows_of(counting)] if counting else []
+        parts.append(_counted_instants(reduce(DataFrame.unionByName, rows),
+                                       _conditions(matches, merges + counting)))
+    if distinct:
+        asks_for_none = any(c.limit == ("eq", 0) for c in distinct)
+        parts.append(_distinct_instants(rows_of(distinct), _conditions(matches, distinct), asks_for_none))
+    instants = reduce(DataFrame.unionByName, parts)
     return with_alert_id(_join_pieces(_session_pieces(_live_counts(instants))))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from watchspan.operators import slices
 from watchspan.operators.bursts import GROUP, SLICE, with_alert_id
-from watchspan.operators.correlation import Correlation, members, rule_list
+from watchspan.operators.correlation import Correlation, members, rule_list, without_idle_groups
 from watchspan.session import stable_storage
 
 
@@ -32,9 +32,12 @@ def _count(position: int) -> Column:
     return F.col(f"n_{position}")
 
 
-def _instants(matches: DataFrame, chosen: list[Correlation], shape: tuple[bool, ...]) -> DataFrame:
+def _instants(matches: DataFrame, chosen: list[Correlation], shape: tuple[bool, ...],
+              prune: bool) -> DataFrame:
     """Per group and instant: how many matches stand at each position, and the first two ids."""
     rows = members(matches, chosen)
+    if prune:
+        rows = without_idle_groups(rows, chosen)
     conditions = rule_list(matches.sparkSession, [(c.name, c.span_us) for c in chosen],
                            "corr string, span_us bigint")
     steps = range(len(shape) + 1)
@@ -98,7 +101,7 @@ def _linked(candidates: DataFrame) -> DataFrame:
     earlier_end = F.max("last_us").over(oldest_first.rowsBetween(Window.unboundedPreceding, -1))
     marked = (slices.seen_later(candidates, "first_us")
               .withColumn("free", F.coalesce(earlier_end < F.col("first_us"), F.lit(True)))
-              .filter("own").drop("slice", "own"))
+              .filter("own").drop("slice", "own", "part"))
     borders = marked.withColumn("border", F.explode(F.array(
         F.struct(F.col("last_us").alias("at"), F.lit(0).alias("starts")),
         F.struct(F.col("first_us").alias("at"), F.lit(1).alias("starts"))))).select(
@@ -111,7 +114,7 @@ def _linked(candidates: DataFrame) -> DataFrame:
             .withColumn("next", F.last(start, ignorenulls=True).over(onward))
             .filter("own and starts = 0")
             .withColumn("after", F.when(~F.col("next")["free"], F.col("next")["first_us"]))
-            .drop("slice", "own", "at", "starts", "next"))
+            .drop("slice", "own", "part", "at", "starts", "next"))
 
 
 def _without_overlap(candidates: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def _without_overlap(candidates: DataFrame) -> DataFrame:
     return linked.join(reached, [*GROUP, "first_us"], "left_semi")
 
 
-def find_chains(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
+def find_chains(matches: DataFrame, correlations: list[Correlation], prune: bool = False) -> DataFrame:
     """Accepted chains of all given temporal_ordered correlations, with the matches they consist of.
 
     Columns as for bursts, plus ``chain``: array of (ts_us, match_id) in order.
@@ -138,7 +141,7 @@ def find_chains(matches: DataFrame, correlations: list[Correlation]) -> DataFram
         by_shape.setdefault(_shape(c), []).append(c)
     parts = []
     for shape, chosen in by_shape.items():
-        found = _candidates(_instants(matches, chosen, shape), shape)
+        found = _candidates(_instants(matches, chosen, shape, prune), shape)
         parts.append(_oldest_per_end(found) if shape in ((), (False,)) else _without_overlap(found))
     chains = reduce(DataFrame.unionByName, [
         p.select(F.col("corr").alias("rule"), "grp", "first_us",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchspan.functions.fields import present
 from watchspan.schema import MERGE_GAP_SECONDS, MICROS
+from watchspan.session import stable_storage
 
 # The rule list is held by the driver, one small row per reference. Past this it is joined by shuffle.
 BROADCAST_REFERENCES = 50_000
@@ -84,3 +85,33 @@ def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
                     F.when(F.col("by_entity"), F.array("entity")).otherwise(named).alias("grp"),
                     value.alias("value"))
             .filter(~F.exists("grp", lambda key: key.isNull())))
+
+
+SEQUENCES = ("temporal", "temporal_ordered")
+# Groups that are left over are sent to all tasks while there are no more than this many.
+BROADCAST_GROUPS = 500_000
+
+
+def without_idle_groups(rows: DataFrame, correlations: list[Correlation]) -> DataFrame:
+    """Leave out groups that cannot fire: too few matches in all, or none of a rule they need.
+
+    Most groups of real logs are like that, and this spares them the ordered steps. It costs one more
+    pass over the matches with a map-side combine, so these should be stored. If too many groups are
+    left, ``rows`` come back as they are.
+    """
+    needs = rule_list(
+        rows.sparkSession,
+        [(c.name, c.limit[1] if c.kind in ("event_count", "value_count") else 1,
+          len(c.rules) if c.kind in SEQUENCES else 0) for c in correlations],
+        "corr string, least bigint, positions int")
+    sequences = [len(c.rules) for c in correlations if c.kind in SEQUENCES]
+    seen = [F.max((F.col("position") == i).cast("int")).alias(f"seen_{i}") for i in range(max(sequences, default=0))]
+    able = F.col("n") >= F.col("least")
+    for i in range(len(seen)):
+        able = able & ((F.col("positions") <= i) | (F.col(f"seen_{i}") == 1))
+    groups = (rows.groupBy("corr", "grp").agg(F.count(F.lit(1)).alias("n"), *seen)
+              .join(needs, "corr").filter(able).select("corr", "grp"))
+    groups = stable_storage(groups.limit(BROADCAST_GROUPS + 1))
+    if groups.count() > BROADCAST_GROUPS:
+        return rows
+    return rows.join(F.broadcast(groups), ["corr", "grp"], "left_semi")

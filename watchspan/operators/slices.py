@@ -24,9 +24,12 @@ def start_of(ts_us: Column, slice_width: Column) -> Column:
 
 
 def _spread(df: DataFrame, homes: Column) -> DataFrame:
+    """``part`` stands first among the partition columns: sorting compares one number, and texts only
+    where it is equal."""
     return (df.withColumn("home", F.explode(homes))
             .withColumns({"slice": F.col("home")["slice"], "own": F.col("home")["own"]})
-            .drop("home"))
+            .drop("home")
+            .withColumn("part", F.xxhash64("corr", "grp", "slice")))
 
 
 def _home(start: Column, own: bool) -> Column:

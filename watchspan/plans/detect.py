@@ -53,10 +53,11 @@ def _same_event_twice(correlation: Correlation, by_name: dict[str, Correlation])
 
 
 def correlate(matches: DataFrame, levels: list[list[Correlation]],
-              keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Found:
+              keep: Callable[[DataFrame], DataFrame] = lambda df: df, prune: bool = False) -> Found:
     """Run correlations level by level; each level sees the matches of rules and of earlier levels.
 
-    ``keep`` is applied to what later steps read again, such as the bursts of a level.
+    ``keep`` is applied to what later steps read again, such as the bursts of a level. ``prune``
+    leaves out groups that cannot fire, at the cost of one more pass over the matches.
     """
     by_name = {c.name: c for level in levels for c in level if c.kind != "merge"}
     all_bursts: list[DataFrame] = []
@@ -69,7 +70,7 @@ def correlate(matches: DataFrame, levels: list[list[Correlation]],
             chosen = [c for c in level if (c.kind == "temporal_ordered") == ordered]
             if not chosen:
                 continue
-            bursts = keep((find_chains if ordered else find_bursts)(matches, chosen))
+            bursts = keep((find_chains if ordered else find_bursts)(matches, chosen, prune))
             found.append(bursts.select(*BURST_COLUMNS))
             rows = (chain_members(bursts, chosen) if ordered
                     else burst_members(matches, bursts, chosen))
@@ -140,7 +141,7 @@ def detect(events: DataFrame, rules: list[Rule],
     levels = correlation_levels(rules)
     if not levels:
         levels = [[merge_of(r.name) for r in rules]]
-    return make_alerts(correlate(matches, levels, keep), rules)
+    return make_alerts(correlate(matches, levels, keep, prune=True), rules)
 
 
 def by_time(alerts: DataFrame) -> DataFrame:
