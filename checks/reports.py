@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.tables import ADDRESS_SQL, address, as_sshd, events, table, text_id, utc
+from checks.tables import address, events, table, text_id, utc
 from watchspan.plans import lookup, score, summary
 from watchspan.rules import build_rule
 from watchspan.schema import LEVELS, level_rank

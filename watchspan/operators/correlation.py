@@ -88,8 +88,9 @@ def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
 
 
 SEQUENCES = ("temporal", "temporal_ordered")
-# Groups that are left over are sent to all tasks while there are no more than this many.
+# Groups that are left over are sent to all tasks up to this number and size.
 BROADCAST_GROUPS = 500_000
+BROADCAST_GROUP_BYTES = 64 << 20
 
 
 def without_idle_groups(rows: DataFrame, correlations: list[Correlation]) -> DataFrame:
@@ -112,6 +113,8 @@ def without_idle_groups(rows: DataFrame, correlations: list[Correlation]) -> Dat
     groups = (rows.groupBy("corr", "grp").agg(F.count(F.lit(1)).alias("n"), *seen)
               .join(needs, "corr").filter(able).select("corr", "grp"))
     groups = stable_storage(groups.limit(BROADCAST_GROUPS + 1))
-    if groups.count() > BROADCAST_GROUPS:
+    size = F.sum(F.octet_length(F.concat_ws("", "corr", "grp")))
+    number, length = groups.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if number > BROADCAST_GROUPS or length > BROADCAST_GROUP_BYTES:
         return rows
     return rows.join(F.broadcast(groups), ["corr", "grp"], "left_semi")
