@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchspan.llm import chat, quality
+from watchspan.llm import chat, quality, simhash
 
-QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, quality.op2_quality_rules)}
+QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, quality.op2_quality_rules, simhash.op7_simhash_near_dedup)}
 SQL = {"op1_chat_formatting": chat.SQL}
