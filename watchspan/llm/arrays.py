@@ -55,3 +55,49 @@ def single_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts = np.flatnonzero(first)
     row = np.searchsorted(offsets, starts, "right") - 1
     return out, place[starts], place[np.flatnonzero(last)] + 1, row
+
+
+#: Letters and digits of ASCII and all bytes of other characters; the rest parts words.
+WORD = np.zeros(256, bool)
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(size, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
+def mix(*parts) -> np.ndarray:
+    """One 64-bit number for several, in order."""
+    out = np.uint64(0x2545F4914F6CDD1D)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            out = (out ^ np.asarray(p, np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+            out = out ^ (out >> np.uint64(32))
+    return out
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (A-Z lower-cased) and its row.
+
+    Words are the values of polynomials in their bytes, taken from one running sum over the whole batch.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = WORD[data]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | begins[1:-1]
+    last[:-1] &= ~inside[1:] | begins[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _powers(n)
+    upto = np.zeros(n + 1, np.uint64)
+    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=upto[1:])
+    return mix((upto[ends] - upto[starts]) * inverse[starts]), np.searchsorted(offsets, starts, "right") - 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from watchspan.llm import chat, packing, quality, simhash
+from watchspan.llm import chat, decontaminate, packing, quality, simhash
 
 QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, quality.op2_quality_rules, simhash.op7_simhash_near_dedup,
-                                 packing.op9_best_fit_packing)}
+                                 packing.op9_best_fit_packing, decontaminate.op10_benchmark_decontamination)}
 SQL = {"op1_chat_formatting": chat.SQL}
