@@ -82,14 +82,14 @@ def mix(*parts) -> np.ndarray:
     return out
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (A-Z lower-cased) and its row.
+def hashed_words(data: np.ndarray, offsets: np.ndarray, beginning: int | None = None) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of each word (A-Z lower-cased) and its row; with ``beginning``, one of so many first bytes too.
 
     Words are the values of polynomials in their bytes, taken from one running sum over the whole batch.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))[:2 + (beginning is not None)]
     inside = WORD[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
@@ -100,4 +100,5 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     power, inverse = _powers(n)
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=upto[1:])
-    return mix((upto[ends] - upto[starts]) * inverse[starts]), np.searchsorted(offsets, starts, "right") - 1
+    hashes = [mix((upto[stop] - upto[starts]) * inverse[starts]) for stop in (ends, *([np.minimum(ends, starts + beginning)] if beginning else []))]
+    return hashes[0], np.searchsorted(offsets, starts, "right") - 1, *hashes[1:]

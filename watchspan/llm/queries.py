@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from watchspan.llm import chat, decontaminate, idfile, packing, quality, secrets, simhash
+from watchspan.llm import chat, decontaminate, idfile, packing, quality, secret_scan, simhash, toxicity
 
-QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, quality.op2_quality_rules, secrets.op6_secret_scans, simhash.op7_simhash_near_dedup,
+QUERIES = {f.__name__: f for f in (chat.op1_chat_formatting, quality.op2_quality_rules, toxicity.op3_toxicity, secret_scan.op6_secret_scans, simhash.op7_simhash_near_dedup,
                                  idfile.op8_token_id_files, packing.op9_best_fit_packing,
                                  decontaminate.op10_benchmark_decontamination)}
-SQL = {"op1_chat_formatting": chat.SQL, "op6_secret_scans": secrets.SQL}
+SQL = {"op1_chat_formatting": chat.SQL, "op6_secret_scans": secret_scan.SQL}
