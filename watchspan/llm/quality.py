@@ -200,11 +200,14 @@ def fit(stats: DataFrame, labels: DataFrame, **options) -> DecisionList:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass the base test and the learned list. Texts are not shuffled; they are read twice."""
-    stats = keep(text_stats(docs.select("doc_id", "text")).select("doc_id", *STATS))
-    rejects = fit(stats, labels).rejects()
-    renamed = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return text_stats(renamed).filter(~base_failed() & ~rejects).select("_row.*")
+    """The rows of ``docs`` that pass the base test and the learned list.
+
+    Statistics are computed once and written next to the rows: a filter on expressions of this size would otherwise be
+    pushed into the scan and repeat them. Learning then reads the few numbers only.
+    """
+    marked = keep(text_stats(docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text"))).drop("text"))
+    rejects = fit(marked.select("doc_id", *STATS), labels).rejects()
+    return marked.filter(~base_failed() & ~rejects).select("_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
