@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from watchspan.llm.arrays import flat, pieces
 from watchspan.llm.common import keep, shared_folder, table
-from watchspan.llm.tokens import Encoder
+from watchspan.llm.tokens import encoder_of
 
 LONGEST, BLOCK, PART_TOKENS = 16, 256, 1 << 24
 
@@ -123,7 +123,7 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, tabl
 def _keep_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """doc_id and ids of each document; a row without ``ids`` holds counts of (some) ids of one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         width = np.dtype("<u2") if max(encoder.tokenizer.get_vocab_size(), end_id) < 1 << 16 else np.dtype("<u4")
         counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         for batch in pieces(batches, limit=8 << 20):

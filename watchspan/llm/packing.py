@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from watchspan.llm.arrays import flat, pieces
 from watchspan.llm.common import keep, table
-from watchspan.llm.tokens import Encoder
+from watchspan.llm.tokens import encoder_of
 
 SEQUENCE = 4096
 OPEN_BINS = 128
@@ -82,7 +82,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text"
                         ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = Encoder(tokenizer), BestFit(size, open_bins)
+        encoder, bins = encoder_of(tokenizer), BestFit(size, open_bins)
         number, out = TaskContext.get().partitionId() << 40, []
 
         def close(packed: list | None, still_open: bool = False) -> None:

@@ -2,13 +2,18 @@
 
 Texts are cut where any pre-tokenizer of this family cuts as well: before a single space or line feed between two
 characters that are not white space, behind such a line feed, and between an ASCII letter and ASCII punctuation. Each
-distinct piece is encoded once per batch and remembered, and texts are put together from the ids of their pieces.
-Texts that may hold special tokens (``<|``) are encoded as they are.
+distinct piece is encoded once and remembered by the worker process, up to a number of pieces, and texts are put
+together from the ids of their pieces. Pieces that are one word of Latin letters go to the tokenizer's model at once,
+where a few probes show that this gives the same ids. Texts that may hold special tokens (``<|``) are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import sys
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -44,52 +49,74 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PROBES = (" the", "The", "Anbleth", " \u00c9toile", "stra\u00dfe", " \u00e4\u00f1\u00f8", "x")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """``encode`` gives the ids of all texts of a batch in one array, and where each text begins in it."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.between = next(iter(special.items()), None)
+        self.chars = _byte_chars()
+        self.styles = [style for style in (self._kept, self._lowered) if self._agrees(style)]
         self.remember = remember
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.begin = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
+    def _kept(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.chars)
+
+    def _lowered(self, text: str) -> str:
+        return text.strip(" ").lower().encode().decode("latin-1").translate(self.chars)
+
+    def _agrees(self, style) -> bool:
+        return all([t.id for t in self.tokenizer.model.tokenize(style(p))] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in PROBES)
+
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each text in a row, and their numbers. Plain texts are joined by a special token, which stands alone."""
-        ids: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        run: list[str] = []
+        """Ids of each text in a row, and their numbers. What is no plain word is joined by a special token, which stands alone."""
+        ids: list[list[int]] = [[]] * len(texts)
+        run: list[int] = []
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        word, model = WORD.fullmatch, self.tokenizer.model.tokenize
+        style = self.styles[0] if self.styles else None
 
         def close():
             if run:
-                whole = np.array(self.tokenizer.encode_batch_fast([self.between[1].join(run)], add_special_tokens=False)[0].ids, np.int32)
-                at = np.flatnonzero(whole == self.between[0])
-                ids.append(whole[whole != self.between[0]])
-                sizes.append(np.diff(np.concatenate([[-1], at, [len(whole)]])) - 1)
+                whole = self.tokenizer.encode_batch_fast([self.between[1].join([decoded[k] for k in run])], add_special_tokens=False)[0].ids
+                at, begin = 0, 0
+                ends = [k for k, i in enumerate(whole) if i == self.between[0]] + [len(whole)]
+                for at, end in zip(run, ends):
+                    ids[at] = whole[begin:end]
+                    begin = end + 1
                 run.clear()
 
-        for text in texts:
-            if self.between and b"<|" not in text and text:
-                run.append(text.decode("utf-8", "replace"))
+        for k, text in enumerate(texts):
+            if style and word(text):
+                ids[k] = [t.id for t in model(style(decoded[k]))]
+            elif self.between and text and b"<|" not in text:
+                run.append(k)
                 if len(run) == 2000:
                     close()
             else:
-                close()
-                own = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
-                ids.append(own)
-                sizes.append(np.array([len(own)]))
+                ids[k] = self.tokenizer.encode(decoded[k], add_special_tokens=False).ids
         close()
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
     def _slots(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.remember:
-            self._forget()
-        slots = np.fromiter((self.known.get(x, -1) for x in distinct), np.int64, len(distinct))
+        """Where the ids of each piece lie. New pieces are remembered while there is room, else only for this batch."""
+        slots = np.array([self.known.get(x, -1) for x in distinct], np.int64)
         new = np.flatnonzero(slots < 0)
         if len(new):
             texts = [distinct[k] for k in new]
@@ -102,7 +129,7 @@ class Encoder:
             self.begin = _room(self.begin, have + len(new) + 1)
             self.begin[have + 1:have + len(new) + 1] = ends
             slots[new] = np.arange(have, have + len(new))
-            self.known.update(zip(texts, range(have, have + len(new))))
+            self.known.update(zip(texts[:max(0, self.remember - have)], range(have, have + len(new))))
         return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +143,14 @@ class Encoder:
         return ids, upto[np.searchsorted(starts, offsets)]
 
 
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process and file. A module of that process keeps it, as task functions come anew with each task."""
+    holder = sys.modules.setdefault("watchspan_llm_encoders", ModuleType("watchspan_llm_encoders"))
+    if path not in vars(holder):
+        setattr(holder, path, Encoder(path))
+    return vars(holder)[path]
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
