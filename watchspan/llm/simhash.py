@@ -162,20 +162,24 @@ def file_entries(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame
                 if t < 0:
                     continue
                 value = value_of(fp, bits)
-                yield _entries(_mix(k, value), k + 1, fp, FILED | PROBES)
+                yield _entries(_mix(k, value), 8 | k, fp, FILED | PROBES)
                 for mask in _masks(len(bits), t):
-                    yield _entries(_mix(k, value ^ np.uint64(mask)), k + 1, fp, PROBES)
+                    yield _entries(_mix(k, value ^ np.uint64(mask)), 8 | k, fp, PROBES)
 
     return fps.select("fp").mapInArrow(run, ENTRY)
 
 
+#: Paths below are split further; seven times leaves at most eight of the bits, so few different fingerprints.
+DEEPEST = 1 << 17
+
+
 def bits_left(path: int, plan: list[tuple[list[int], int]]) -> list[int]:
-    """``path`` is the part, then a base-4 digit (plus a leading 1) for each piece that was used up."""
+    """``path`` is 8 plus the part, then a base-4 digit for each piece that was used up."""
     digits = []
-    while path >= 8:
+    while path >= 16:
         digits.append(path & 3)
         path >>= 2
-    used = set(plan[path - 1][0])
+    used = set(plan[path - 8][0])
     left = [b for b in range(BITS) if b not in used]
     for d in reversed(digits):
         own = set(_quarter(left, d))
@@ -281,12 +285,12 @@ def linked(fps: DataFrame) -> DataFrame:
     plan = allocate(np.array([r.fp for r in sample], np.int64).view(np.uint64), count)
     entries, found = file_entries(fps, plan), []
     while True:
-        hot = keep(entries.groupBy("bucket").count().filter(F.col("count") > LIMIT).select("bucket"))
+        hot = keep(entries.filter(F.col("path") < DEEPEST).groupBy("bucket").count().filter(F.col("count") > LIMIT).select("bucket"))
         if hot.isEmpty():
             found.append(probe(entries))
             break
         found.append(probe(entries.join(hot, "bucket", "left_anti")))
-        entries = split_entries(entries.join(hot, "bucket", "left_semi").filter(F.col("path") < 1 << 14), plan)
+        entries = split_entries(entries.join(hot, "bucket", "left_semi"), plan)
         entries = keep(entries.dropDuplicates(["bucket", "fp", "role"]))
     links = found[0]
     for more in found[1:]:
