@@ -74,14 +74,14 @@ DOC_SOURCE = "CASE lang WHEN 'en' THEN 'nginx' WHEN 'de' THEN 'ssh' ELSE 'window
 
 @register("search_events", """
 SELECT doc_id AS id FROM documents WHERE lang = 'en' AND contains(lower(text), 'tion on')
-ORDER BY doc_id % 977 DESC, doc_id DESC LIMIT 500""")
+ORDER BY doc_id % 977 DESC, doc_id DESC""")
 def search_events(spark, sf_dir):
-    found = lookup.search_events(stored_documents(spark, sf_dir), "nginx", "Tion ON", 5000)
+    found = lookup.search_events(stored_documents(spark, sf_dir), "nginx", "Tion ON")
     return found.select(F.col("event_id").cast("bigint").alias("id"))
 
 
 @register("search_events_no_wildcards", r"""
-SELECT doc_id AS id FROM documents WHERE contains(lower(text), '%%% ') OR FALSE ORDER BY doc_id % 977 DESC, doc_id DESC LIMIT 100""")
+SELECT doc_id AS id FROM documents WHERE contains(lower(text), '%%% ') OR FALSE ORDER BY doc_id % 977 DESC, doc_id DESC""")
 def search_events_no_wildcards(spark, sf_dir):
     """An unknown source is no restriction, and a percent sign is a percent sign."""
     found = lookup.search_events(stored_documents(spark, sf_dir), "mainframe", "%%% ")
@@ -102,7 +102,7 @@ def alerts_at_least(spark, sf_dir):
 SELECT event_id AS id, event_type AS rule, {LEVEL_SQL} AS level FROM events
 WHERE {RANK_SQL} >= 1 AND (contains(event_type, '"k": "1') OR contains(concat('{{"k": "', json_extract_string(props, '$.k'), '", "who": "', CASE WHEN user_id % 10 = 0 THEN '-'
   ELSE concat('user ', user_id) END, '"}}'), '"k": "1'))
-ORDER BY {RANK_SQL} DESC, ts, event_id LIMIT 500""")
+ORDER BY {RANK_SQL} DESC, ts, event_id""")
 def search_alerts(spark, sf_dir):
     """The term is looked for in the group as it is printed."""
     return chosen(lookup.search_alerts(alerts(spark, sf_dir), "low", '"K": "1'))
@@ -139,7 +139,7 @@ def user_evidence(spark, sf_dir) -> DataFrame:
 
 @register("alert_events", """
 SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events WHERE user_id = 7
-ORDER BY ts, event_id LIMIT 200""")
+ORDER BY ts, event_id""")
 def alert_events(spark, sf_dir):
     stored = events(spark, sf_dir).withColumns({"event_id": text_id(), "ts": utc()})
     return lookup.alert_events("7", user_evidence(spark, sf_dir), stored).select(
@@ -162,9 +162,10 @@ LEVELS_SQL = "(VALUES " + ", ".join(f"('{name}')" for name in LEVELS) + ") AS l(
 
 @register("alerts_by_level", f"""
 SELECT level, coalesce(n, 0) AS alerts FROM {LEVELS_SQL}
-LEFT JOIN (SELECT {LEVEL_SQL} AS level, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1) USING (level)""")
+LEFT JOIN (SELECT replace({LEVEL_SQL}, 'medium', 'high') AS level, count(*) AS n FROM events GROUP BY 1) USING (level)""")
 def alerts_by_level(spark, sf_dir):
-    return summary.alerts_by_level(alerts(spark, sf_dir).filter("rule <> 'signup'"))
+    """No alert is of the medium level."""
+    return summary.alerts_by_level(alerts(spark, sf_dir).withColumn("level", F.replace("level", F.lit("medium"), F.lit("high"))))
 
 
 @register("alerts_by_rule", "SELECT event_type AS rule, count(*) AS alerts FROM events GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -187,21 +188,20 @@ def timeline_sql(where: str, size: int) -> str:
     return f"""
 WITH a AS (SELECT epoch(date_trunc('second', ts))::BIGINT // {size} * {size} AS bucket, {LEVEL_SQL} AS level FROM events WHERE {where}),
 c AS (SELECT bucket, {counts} FROM a GROUP BY bucket),
-s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM a), (SELECT max(bucket) FROM a), {size})) AS bucket LIMIT 400)
+s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM a), (SELECT max(bucket) FROM a), {size})) AS bucket)
 SELECT strftime(make_timestamp(bucket * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS t, {size}::BIGINT AS bucket_seconds, {filled}
 FROM s LEFT JOIN c USING (bucket)"""
 
 
-@register("timeline_daily", timeline_sql("event_type <> 'view'", 86400))
+@register("timeline_daily", timeline_sql("TRUE", 86400))
 def timeline_daily(spark, sf_dir):
-    return summary.timeline(alerts(spark, sf_dir).filter("rule <> 'view'"))
+    return summary.timeline(alerts(spark, sf_dir))
 
 
-@register("timeline_hourly", timeline_sql("ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 12:00:00' AND user_id % 5 = 0", 3600))
+@register("timeline_hourly", timeline_sql("ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 12:00:00'", 3600))
 def timeline_hourly(spark, sf_dir):
-    users = F.coalesce(F.substring(F.col("grp")["who"], 6, 9).try_cast("bigint"), F.lit(0))
-    within = alerts(spark, sf_dir).filter("ts_first >= '2024-01-10' and ts_first < '2024-01-12 12:00:00'")
-    return summary.timeline(within.filter(users % 5 == 0))
+    """A range of two and a half days is what the hourly form is for."""
+    return summary.timeline(alerts(spark, sf_dir).filter("ts_first >= '2024-01-10' and ts_first < '2024-01-12 12:00:00'"))
 
 
 RULE_NAMES = ["error", "purchase", "never"]

@@ -71,15 +71,36 @@ def wildcard_pattern(text: str) -> str:
     return _WILDCARD_PIECES.sub(piece, text)
 
 
+# Pieces of a Python pattern: an escaped character, the ends of a class, and what Java reads in another way.
+_PATTERN_PIECES = re.compile(r"\\(?P<escaped>.)|(?P<upto>\{,(?=\d*\}))|\(\?P=(?P<again>\w+)\)|(?P<named>\(\?P<\w+>)|(?P<open>\[\^?\]?)|.", re.S)
+
+
 def java_pattern(pattern: str) -> str:
     """A Python pattern for Java: dot matches all, Unicode classes, only ``\\n`` ends a line.
 
-    Named groups become plain ones, as Java allows fewer names.
+    Inside a class Java nests brackets and intersects at ``&&``; both are plain characters in Python. ``{,n}`` and
+    ``\\Z`` are written in other ways, and named groups become plain ones, as Java allows fewer names.
     """
     numbers = re.compile(pattern).groupindex
-    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"(?:\{numbers[m[1]]})", pattern)
-    pattern = re.sub(r"\(\?P<\w+>", "(", pattern)
-    return "(?sdU)" + pattern.replace(r"\Z", r"\z")
+    inside = False
+
+    def piece(found: re.Match) -> str:
+        nonlocal inside
+        if found["escaped"]:
+            return r"\z" if found["escaped"] == "Z" and not inside else found[0]
+        if inside:
+            inside = found[0][-1] != "]"
+            return "".join(rf"\{c}" if c in "[&" else c for c in found[0])
+        if found["open"]:
+            inside = True
+            return found[0].replace("]", r"\]")
+        if found["upto"]:
+            return "{0,"
+        if found["again"]:
+            return rf"(?:\{numbers[found['again']]})"
+        return "(" if found["named"] else found[0]
+
+    return "(?sdU)" + _PATTERN_PIECES.sub(piece, pattern)
 
 
 @dataclasses.dataclass(frozen=True)

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from watchspan.functions.fields import present
 from watchspan.schema import MERGE_GAP_SECONDS, MICROS
-from watchspan.session import stable_storage
-
-# The rule list is held by the driver, one small row per reference. Past this it is joined by shuffle.
-BROADCAST_REFERENCES = 50_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -52,13 +48,8 @@ def merge_of(rule: str) -> Correlation:
 
 
 def rule_list(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table with one row per rule reference; broadcast while the list is short."""
-    table = spark.createDataFrame(rows, schema)
-    return small(table, len(rows))
-
-
-def small(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_REFERENCES else table
+    """A table with one row per rule reference. Its size is known to the optimizer, which picks the join."""
+    return spark.createDataFrame(rows, schema)
 
 
 def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
@@ -88,17 +79,13 @@ def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
 
 
 SEQUENCES = ("temporal", "temporal_ordered")
-# Groups that are left over are sent to all tasks up to this number and size.
-BROADCAST_GROUPS = 500_000
-BROADCAST_GROUP_BYTES = 64 << 20
 
 
 def without_idle_groups(rows: DataFrame, correlations: list[Correlation]) -> DataFrame:
     """Leave out groups that cannot fire: too few matches in all, or none of a rule they need.
 
     Most groups of real logs are like that, and this spares them the ordered steps. It costs one more
-    pass over the matches with a map-side combine, so these should be stored. If too many groups are
-    left, ``rows`` come back as they are.
+    pass over the matches with a map-side combine, so these should be stored.
     """
     needs = rule_list(
         rows.sparkSession,
@@ -112,9 +99,4 @@ def without_idle_groups(rows: DataFrame, correlations: list[Correlation]) -> Dat
         able = able & ((F.col("positions") <= i) | (F.col(f"seen_{i}") == 1))
     groups = (rows.groupBy("corr", "grp").agg(F.count(F.lit(1)).alias("n"), *seen)
               .join(needs, "corr").filter(able).select("corr", "grp"))
-    groups = stable_storage(groups.limit(BROADCAST_GROUPS + 1))
-    size = F.sum(F.octet_length(F.concat_ws("", "corr", "grp")))
-    number, length = groups.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    if number > BROADCAST_GROUPS or length > BROADCAST_GROUP_BYTES:
-        return rows
-    return rows.join(F.broadcast(groups), ["corr", "grp"], "left_semi")
+    return rows.join(groups, ["corr", "grp"], "left_semi")

@@ -85,5 +85,11 @@ def first_events(evidence: DataFrame, limit: int) -> DataFrame:
             .withColumn("pos", F.col("rank") - 1).drop("part", "rank"))
 
 
+def numbered(evidence: DataFrame) -> DataFrame:
+    """All events per alert, numbered from 0 as ``pos``. For one alert at a time: its events meet in one task."""
+    in_alert = Window.partitionBy("alert_id").orderBy(*ORDER, "event_id")
+    return evidence.withColumn("pos", F.row_number().over(in_alert) - 1)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None

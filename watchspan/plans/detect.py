@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from watchspan.operators.bursts import find_bursts
 from watchspan.operators.chains import find_chains
-from watchspan.operators.correlation import Correlation, merge_of, rule_list, small
+from watchspan.operators.correlation import Correlation, merge_of, rule_list
 from watchspan.operators.evidence import (
     burst_members, chain_members, events_behind, first_events, once_each, union_all)
 from watchspan.operators.matching import match_events
@@ -96,17 +96,16 @@ def correlate(matches: DataFrame, levels: list[list[Correlation]],
                  union_all(evidence))
 
 
-def make_alerts(found: Found, rules: list[Rule]) -> Detection:
-    """Alerts of all rules that are not silenced, with the first evidence ids inside."""
+def make_alerts(found: Found, rules: list[Rule], ids_in_alert: int = EVIDENCE_IN_ALERT) -> Detection:
+    """Alerts of all rules that are not silenced, with the first evidence ids inside; the evidence has all."""
     spark = found.bursts.sparkSession
     loud = rules_table(spark, rules).filter(~F.col("silenced")).select(
         "rule", "title", "level", "level_rank", "description", "tags", "kind")
     names = rule_list(spark, [(r.name, r.correlation.group_by if r.correlation else ["entity"])
                               for r in rules], "rule string, names array<string>")
-    alerts = found.bursts.join(small(loud, len(rules)), "rule").join(
-        names, "rule")
+    alerts = found.bursts.join(loud, "rule").join(names, "rule")
     evidence = found.evidence.filter(~F.col("rule").isin(list(silenced(rules))))
-    listed = (first_events(evidence, EVIDENCE_IN_ALERT).groupBy("alert_id")
+    listed = (first_events(evidence, ids_in_alert).groupBy("alert_id")
               .agg(F.sort_array(F.collect_list(F.struct("pos", "event_id"))).alias("listed")))
     return Detection(
         alerts.join(listed, "alert_id").select(
@@ -131,7 +130,8 @@ def correlation_levels(rules: list[Rule]) -> list[list[Correlation]]:
 
 
 def detect(events: DataFrame, rules: list[Rule],
-           keep: Callable[[DataFrame], DataFrame] = stable_storage) -> Detection:
+           keep: Callable[[DataFrame], DataFrame] = stable_storage,
+           ids_in_alert: int = EVIDENCE_IN_ALERT) -> Detection:
     """Alerts are a function of the events and rules alone; run again, they come out the same.
 
     The matches, a small part of the events, are kept, as every level reads them.
@@ -141,7 +141,7 @@ def detect(events: DataFrame, rules: list[Rule],
     levels = correlation_levels(rules)
     if not levels:
         levels = [[merge_of(r.name) for r in rules]]
-    return make_alerts(correlate(matches, levels, keep, prune=True), rules)
+    return make_alerts(correlate(matches, levels, keep, prune=True), rules, ids_in_alert)
 
 
 def by_time(alerts: DataFrame) -> DataFrame:

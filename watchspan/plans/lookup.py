@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchspan.operators.evidence import first_events
+from watchspan.operators.evidence import first_events, numbered
 from watchspan.schema import LEVELS, SOURCES, iso_seconds
 
-TERM_LENGTH = 200
-MOST_ROWS = 500
-EVIDENCE_SHOWN = 200
-
 
 def scan_events(events: DataFrame, source: str | None = None) -> DataFrame:
     """Unsorted: whoever needs an order knows how much of it."""
@@ -27,13 +23,17 @@ def events_of(ids: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(ids, "event_id", "left_semi")
 
 
+def top(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def search_events(events: DataFrame, source: str | None = None, term: str = "",
-                  limit: int = 100) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Newest events of a source whose raw line holds the term in any case. No wildcards."""
     found = scan_events(events, source if source in SOURCES else None)
     if term:
-        found = found.filter(F.contains(F.lower("raw"), F.lower(F.lit(term[:TERM_LENGTH]))))
-    return found.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(1, min(limit, MOST_ROWS)))
+        found = found.filter(F.contains(F.lower("raw"), F.lower(F.lit(term))))
+    return top(found.orderBy(F.desc("ts"), F.desc("event_id")), limit)
 
 
 def alerts_by_time(alerts: DataFrame) -> DataFrame:
@@ -57,20 +57,21 @@ def at_least(alerts: DataFrame, level: str = LEVELS[0]) -> DataFrame:
 
 
 def search_alerts(alerts: DataFrame, level: str = LEVELS[0], term: str = "",
-                  limit: int = MOST_ROWS) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Worst first, then oldest. The term may stand in the rule, the title or the group."""
     found = at_least(alerts, level if level in LEVELS else LEVELS[0])
     if term:
         places = [F.col("rule"), F.col("title"), group_json(F.col("grp"))]
         held = [F.contains(F.lower(place), F.lower(F.lit(term))) for place in places]
         found = found.filter(held[0] | held[1] | held[2])
-    return found.orderBy(F.desc("level_rank"), "ts_first", "alert_id").limit(limit)
+    return top(found.orderBy(F.desc("level_rank"), "ts_first", "alert_id"), limit)
 
 
 def alert_events(alert_id: str, evidence: DataFrame, events: DataFrame,
-                 limit: int = EVIDENCE_SHOWN) -> DataFrame:
-    """The first events behind one alert, in time order."""
-    shown = first_events(evidence.filter(F.col("alert_id") == alert_id), limit)
+                 limit: int | None = None) -> DataFrame:
+    """The events behind one alert, or the first ``limit``, in time order."""
+    own = evidence.filter(F.col("alert_id") == alert_id)
+    shown = first_events(own, limit) if limit is not None else numbered(own)
     return (events.join(shown.select("event_id", "pos"), "event_id")
             .orderBy("ts", "event_id"))
 

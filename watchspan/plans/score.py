@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchspan.functions.fields import any_case, present
-from watchspan.operators.evidence import first_events
 from watchspan.schema import ADDRESS_FIELDS, iso_seconds
+from watchspan.session import stable_storage
 
 SLACK_SECONDS = 120
-ADDRESS_EVENTS = 200
-HOST_EVENTS = 50
+# Scenarios and alerts of a host meet by stretches of this length.
+STRETCH_SECONDS = 6 * 3600
 
 
 @dataclasses.dataclass(frozen=True)
@@ -23,10 +24,9 @@ class Score:
     totals: DataFrame
 
 
-def first_evidence(evidence: DataFrame, events: DataFrame) -> DataFrame:
-    """The first events of every alert with what scoring needs of them."""
-    shown = first_events(evidence, ADDRESS_EVENTS).select("alert_id", "event_id", "pos")
-    return shown.join(events.select("event_id", "host", "fields"), "event_id")
+def shown_evidence(evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """What scoring needs of every event behind an alert."""
+    return evidence.select("alert_id", "event_id").join(events.select("event_id", "host", "fields"), "event_id")
 
 
 def alert_addresses(shown: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def alert_addresses(shown: DataFrame) -> DataFrame:
 
 
 def alert_hosts(shown: DataFrame) -> DataFrame:
-    return shown.filter(F.col("pos") < HOST_EVENTS).select("alert_id", "host").distinct()
+    return shown.select("alert_id", "host").distinct()
 
 
 def involved(alerts: DataFrame, addresses: DataFrame, hosts: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -44,9 +44,12 @@ def involved(alerts: DataFrame, addresses: DataFrame, hosts: DataFrame, scenario
     attackers = scenarios.select("scenario_id", F.explode("ips").alias("address")).distinct()
     by_address = addresses.join(attackers, "address").select("alert_id", "scenario_id").distinct()
     first = F.unix_micros("ts_first") / 1_000_000
-    places = scenarios.filter(F.coalesce("host", F.lit("")) != "").select("scenario_id", "host", "start", "end")
-    by_host = (alerts.join(addresses, "alert_id", "left_anti").select("alert_id", "ts_first")
-               .join(hosts, "alert_id").join(places, "host")
+    stretch = lambda seconds: F.floor(seconds / STRETCH_SECONDS)
+    lasts = F.sequence(stretch(F.col("start") - SLACK_SECONDS), stretch(F.col("end") + SLACK_SECONDS))
+    places = (scenarios.filter((F.coalesce("host", F.lit("")) != "") & (F.col("end") + 2 * SLACK_SECONDS >= F.col("start")))
+              .select("scenario_id", "host", "start", "end", F.explode(lasts).alias("stretch")))
+    by_host = (alerts.join(addresses, "alert_id", "left_anti").select("alert_id", "ts_first", stretch(first).alias("stretch"))
+               .join(hosts, "alert_id").join(places, ["host", "stretch"])
                .filter(first.between(F.col("start") - SLACK_SECONDS, F.col("end") + SLACK_SECONDS))
                .select("alert_id", "scenario_id"))
     return by_address.unionByName(by_host)
@@ -81,24 +84,28 @@ def unexpected_alerts(alerts: DataFrame, involvement: DataFrame, scenarios: Data
 
 
 def totals(alerts: DataFrame, expected: DataFrame, unexpected: DataFrame, benign: DataFrame) -> DataFrame:
-    """One row: detected of expected, the share in percent, extra and false alerts, volume."""
-    def number(df: DataFrame, value):
-        return df.agg(value.alias("n")).scalar()
+    """One row: detected of expected, the share in percent, extra and false alerts, volume.
 
-    found = number(expected, F.count_if("detected"))
-    asked = number(expected, F.count(F.lit(1)))
-    return benign.select(
-        found.alias("detected"), asked.alias("expected"),
-        F.coalesce(F.try_divide(found * 100, asked), F.lit(0.0)).alias("percent"),
-        number(unexpected, F.count_if(F.col("verdict") == "extra")).alias("extra_alerts"),
-        number(unexpected, F.count_if(F.col("verdict") == "false positive")).alias("false_positives"),
-        number(alerts, F.count(F.lit(1))).alias("total_alerts"), "benign_events")
+    Each input is read once and gives one row; the rows are added up.
+    """
+    figures = ["detected", "expected", "extra_alerts", "false_positives", "total_alerts", "benign_events"]
+
+    def row(df: DataFrame, **values) -> DataFrame:
+        return df.agg(*[values.get(f, F.lit(0)).cast("bigint").alias(f) for f in figures])
+
+    parts = [row(expected, detected=F.count_if("detected"), expected=F.count(F.lit(1))),
+             row(unexpected, extra_alerts=F.count_if(F.col("verdict") == "extra"),
+                 false_positives=F.count_if(F.col("verdict") == "false positive")),
+             row(alerts, total_alerts=F.count(F.lit(1))), row(benign, benign_events=F.sum("benign_events"))]
+    summed = reduce(DataFrame.unionByName, parts).agg(*[F.sum(f).alias(f) for f in figures])
+    return summed.select("detected", "expected", F.coalesce(F.try_divide(F.col("detected") * 100, F.col("expected")), F.lit(0.0)).alias("percent"),
+                         *figures[2:])
 
 
 def score(alerts: DataFrame, evidence: DataFrame, events: DataFrame, scenarios: DataFrame,
           benign: DataFrame) -> Score:
-    shown = first_evidence(evidence, events)
-    involvement = involved(alerts, alert_addresses(shown), alert_hosts(shown), scenarios)
+    shown = shown_evidence(evidence, events)
+    involvement = stable_storage(involved(alerts, alert_addresses(shown), alert_hosts(shown), scenarios))
     expected = expectations(alerts, involvement, scenarios)
     unexpected = unexpected_alerts(alerts, involvement, scenarios)
     return Score(expected, unexpected, totals(alerts, expected, unexpected, benign))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from watchspan.functions.fields import present
 from watchspan.rules import Rule, rules_table
 from watchspan.schema import LEVELS, iso_seconds, level_name
+from watchspan.session import stable_storage
 
 HOUR, DAY = 3600, 86400
 HOURLY_UP_TO = 3 * DAY
-MOST_BUCKETS = 400
 TOP_ENTITIES = 8
 
 
@@ -54,17 +54,19 @@ def _floor(seconds: Column, size: Column) -> Column:
 def timeline(alerts: DataFrame) -> DataFrame:
     """Alerts per level over time: hourly for a range of up to three days, else daily.
 
-    Buckets are aligned to the epoch, empty ones are there too, and there are at most 400.
+    Buckets are aligned to the epoch, and empty ones are there too. Alerts are counted per hour once; the rest works
+    on hours, of which there are few.
     """
-    first = F.unix_seconds("ts_first")
-    length = F.unix_micros(F.max("ts_first")) - F.unix_micros(F.min("ts_first"))
+    hours = stable_storage(alerts.groupBy(_floor(F.unix_seconds("ts_first"), F.lit(HOUR)).alias("hour")).agg(
+        F.min("ts_first").alias("earliest"), F.max("ts_first").alias("latest"),
+        *[F.count_if(F.col("level") == name).alias(name) for name in LEVELS]))
+    length = F.unix_micros(F.max("latest")) - F.unix_micros(F.min("earliest"))
     size = F.when(length <= HOURLY_UP_TO * 1_000_000, HOUR).otherwise(DAY).cast("bigint")
-    bounds = alerts.agg(F.min(first).alias("low"), F.max(first).alias("high"), size.alias("size"))
-    start = _floor(F.col("low"), F.col("size"))
-    end = F.least(F.col("high"), start + (MOST_BUCKETS - 1) * F.col("size"))
-    spine = bounds.select(F.explode(F.sequence(start, end, F.col("size"))).alias("bucket"), "size")
-    counts = (alerts.groupBy(_floor(first, bounds.select("size").scalar()).alias("bucket"))
-              .agg(*[F.count_if(F.col("level") == name).alias(name) for name in LEVELS]))
+    bounds = hours.agg(F.min("hour").alias("begin"), F.max("hour").alias("end"), size.alias("size"))
+    steps = F.sequence(_floor(F.col("begin"), F.col("size")), F.col("end"), F.col("size"))
+    spine = bounds.select(F.explode(steps).alias("bucket"), "size")
+    counts = (hours.groupBy(_floor(F.col("hour"), bounds.select("size").scalar()).alias("bucket"))
+              .agg(*[F.sum(name).alias(name) for name in LEVELS]))
     return (spine.join(counts, "bucket", "left")
             .select(iso_seconds(F.timestamp_seconds("bucket")).alias("t"),
                     F.col("size").alias("bucket_seconds"),

@@ -15,7 +15,7 @@ ADDRESS_FIELDS = ["c-ip", "src_ip", "IpAddress"]
 MISSING_TEXTS = ["", "-"]
 # Single-event hits of one rule and entity stay one alert while gaps do not exceed this.
 MERGE_GAP_SECONDS = 300
-# Evidence ids kept inside an alert row; alert_evidence always holds all of them.
+# Evidence ids kept inside an alert row unless ``detect`` is told another number; the evidence table holds all.
 EVIDENCE_IN_ALERT = 1000
 
 MICROS = 1_000_000

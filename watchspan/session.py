@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local session may do without."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a session in one process may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="watchspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -51,12 +52,3 @@ def stable_storage(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark).rstrip('/')}/watchspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Let all tasks work on rows that come from a few files, which may not be splittable.
-
-    With as many files as tasks, reading already spreads them and nothing is moved.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchspan.session import use_utc
+from watchspan.session import stable_storage, use_utc
 from watchspan.sources.access import access_events
 from watchspan.sources.lines import read_lines
 from watchspan.sources.sshd import sshd_events
@@ -55,18 +55,14 @@ def first_of_each(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def unstored(parsed: DataFrame, stored: DataFrame, files: list[str] | None = None) -> DataFrame:
+def unstored(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     """Events that are not in ``stored`` yet.
 
     Only files that were read before can hold stored events. Events of all other files, which is
-    all of them in the usual case, pass without being compared or moved. ``files`` may name the
-    files ``parsed`` comes from (``DataFrame.inputFiles()`` of what was read) to save looking for
-    them in the data.
+    all of them in the usual case, pass without being compared or moved.
     """
     events = with_event_id(parsed)
-    origins = (parsed.sparkSession.createDataFrame([(f,) for f in files], "origin string")
-               if files is not None else parsed.select("origin").distinct())
-    again = stored.select("origin").distinct().join(origins, "origin", "left_semi")
+    again = stable_storage(stored.select("origin").distinct().join(parsed.select("origin").distinct(), "origin", "left_semi"))
     if again.isEmpty():
         return events
     ids = stored.join(again, "origin", "left_semi").select("event_id")
@@ -91,19 +87,19 @@ class EventTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
-    def new_events(self, parsed: DataFrame, files: list[str] | None = None) -> DataFrame:
+    def new_events(self, parsed: DataFrame) -> DataFrame:
         spark = parsed.sparkSession
         if not self.exists(spark):
             return with_event_id(parsed)
-        return unstored(parsed, self.read(spark), files)
+        return unstored(parsed, self.read(spark))
 
-    def append(self, parsed: DataFrame, files: list[str] | None = None, gather: bool = False) -> None:
+    def append(self, parsed: DataFrame, gather: bool = False) -> None:
         """Store new events, sorted by time inside each file.
 
         A split of a log covers few days, so every task writes a few files of good size and nothing
         is moved. ``gather`` brings rows of a day together first; use it for many tiny inputs.
         """
-        new = self.new_events(parsed, files)
+        new = self.new_events(parsed)
         (new.hint("rebalance", "source", "day") if gather else new).sortWithinPartitions(
             "source", "day", "ts_us").write.mode("append").partitionBy("source", "day").parquet(self.path)
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from watchspan.session import stable_storage
 
-# A summary row takes some 100 bytes. With splits of the usual 128 MB this many cover 250 TB.
-BROADCAST_SPLITS = 2_000_000
 # Columns every normaliser returns. ``ok`` is false for a line that was not understood.
 PARSED = ["origin", "lineno", "raw", "ok", "ts", "source", "host", "fields"]
 
@@ -78,25 +76,20 @@ def whole_number(text: Column) -> Column:
 def read_lines(spark: SparkSession, paths: str | Iterable[str], line_sep: str | None = None) -> DataFrame:
     """(origin, lineno, raw) of every line in the files, blank ones left out but counted.
 
-    Files are read in splits by many tasks. Rows are numbered inside their split, and a summary of
-    one row per split, counted beforehand, turns that into line numbers of the file. As long as it
-    is short enough to be sent to all tasks, no line is moved for it.
+    Files are read once, in splits by many tasks, and written with the split and the place in it. Line numbers come
+    from that copy alone: where Spark cuts files depends on the cluster of the moment, so two scans need not agree.
     Bytes that are no UTF-8 become U+FFFD.
     """
     chosen = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    rows = reader.text(chosen).select(
+    rows = stable_storage(reader.text(chosen).select(
         F.input_file_name().alias("origin"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"), "value")
+        F.monotonically_increasing_id().alias("row_id"), F.make_valid_utf8("value").alias("raw")))
     before = (Window.partitionBy("origin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = (rows.groupBy("origin", "block")
               .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
               .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .select("origin", "block", "first_id", "earlier"))
-    splits = stable_storage(splits)
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    return (rows.filter(~F.col("value").rlike(r"\A\s*\z"))
+    return (rows.filter(~F.col("raw").rlike(r"\A\s*\z"))
             .join(splits, ["origin", "block"])
-            .select("origin", (F.col("earlier") + F.col("row_id") - F.col("first_id") + 1).alias("lineno"),
-                    F.make_valid_utf8("value").alias("raw")))
+            .select("origin", (F.col("earlier") + F.col("row_id") - F.col("first_id") + 1).alias("lineno"), "raw"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,24 +188,56 @@ def xml_chunks(rows: DataFrame) -> DataFrame:
         "raw", F.concat(F.substring("raw", F.col("start"), F.length("raw")), F.lit("</Event>"))).drop("start")
 
 
+TAIL = 4096
+
+
+def _looks(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Of a file: is it XML by its first mark, and does text follow the last closed event?
+
+    A few bytes of both ends, through Hadoop's file systems; a JSON export has no separator to read it by otherwise.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    length = system.getFileStatus(place).getLen()
+    stream = system.open(place)
+    try:
+        first = stream.read()
+        while first in (9, 10, 11, 12, 13, 32, 0xEF, 0xBB, 0xBF):
+            first = stream.read()
+        begin = max(0, length - TAIL)
+        stream.seek(begin)
+        tail = bytes(spark._jvm.org.apache.hadoop.thirdparty.com.google.common.io.ByteStreams.toByteArray(stream))
+    finally:
+        stream.close()
+    _, closed, rest = tail.rpartition(b"</Event>")
+    return first == ord("<"), not closed or bool(rest.strip())
+
+
 def read_windows(spark: SparkSession, paths: str | Iterable[str], host: str = "",
                  layout: str | None = None) -> DataFrame:
-    """Events of JSON or XML exports. Without ``layout`` each file's first mark decides."""
+    """Events of JSON or XML exports. Without ``layout`` each file's first mark decides.
+
+    Every file is read by the separator of its own layout. Text after the last closed ``<Event>`` of a file, as of a
+    file that was cut off, is no event.
+    """
     if layout not in (None, "json", "xml"):
         raise ValueError(f"layout {layout!r} is neither json nor xml")
     chosen = [paths] if isinstance(paths, str) else list(paths)
-    json_lines = xml_rows = None
-    if layout != "xml":
-        json_lines = read_lines(spark, chosen)
-    if layout != "json":
-        xml_rows = xml_chunks(read_lines(spark, chosen, "</Event>"))
-    if layout is None:
-        marks = json_lines.groupBy("origin").agg(
-            F.min_by(F.ltrim("raw").startswith("<"), "lineno").alias("is_xml"))
-        xml_rows = xml_rows.join(marks.filter("is_xml"), "origin", "left_semi")
-        json_lines = json_lines.join(marks.filter("not is_xml"), "origin", "left_semi")
-    if layout == "xml":
-        return windows_xml_events(xml_rows, host)
     if layout == "json":
-        return windows_json_events(json_lines, host)
-    return windows_json_events(json_lines, host).unionByName(windows_xml_events(xml_rows, host))
+        return windows_json_events(read_lines(spark, chosen), host)
+    files = spark.read.text(chosen).inputFiles()
+    with ThreadPoolExecutor(32) as pool:
+        looks = dict(zip(files, pool.map(lambda f: _looks(spark, f), files)))
+    xml = [f for f in files if layout == "xml" or looks[f][0]]
+    parts = []
+    if len(xml) < len(files):
+        parts.append(windows_json_events(read_lines(spark, [f for f in files if f not in set(xml)]), host))
+    if xml:
+        chunks = read_lines(spark, xml, "</Event>")
+        unclosed = [f for f in xml if looks[f][1]]
+        if unclosed:
+            ends = chunks.groupBy("origin").agg(F.max("lineno").alias("lineno"))
+            cut = ends.join(spark.createDataFrame([(f,) for f in unclosed], "origin string"), "origin", "left_semi")
+            chunks = chunks.join(cut, ["origin", "lineno"], "left_anti")
+        parts.append(windows_xml_events(xml_chunks(chunks), host))
+    return reduce(DataFrame.unionByName, parts)
