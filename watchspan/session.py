@@ -31,7 +31,7 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only a session in one process may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
@@ -49,6 +49,6 @@ def stable_storage(df: DataFrame) -> DataFrame:
     later steps read only the columns they need and know the size of what they join.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/watchspan-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/watchspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
