@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchspan.session import _shared_folder
+from watchspan import session
 from watchspan.session import stable_storage as keep
 
 __all__ = ["keep", "shared_folder", "table", "text_of", "words_of", "SPACE"]
@@ -17,7 +17,7 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return _shared_folder(spark).rstrip("/")
+    return session.shared_folder(spark).rstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str]) -> DataFrame:
