@@ -192,6 +192,29 @@ def match_networks(spark, sf_dir):
         in_network(either, "0.0.0.0/0").alias("mixed"))
 
 
+@register("match_rule_networks", """
+SELECT 'inside' AS rule, event_id AS id FROM events WHERE user_id < 250 AND user_id % 250 BETWEEN 32 AND 63
+UNION ALL SELECT 'outside', event_id FROM events WHERE NOT (user_id < 250 AND user_id % 250 BETWEEN 32 AND 63)""")
+def match_rule_networks(spark, sf_dir):
+    """Networks as a modifier of rules."""
+    stored = as_sshd(spark, sf_dir)
+    return hits(stored, "{service: sshd}", {
+        "inside": "  s: {src_ip|cidr: [10.0.0.32/27, 2001:db8::/32]}\n  condition: s",
+        "outside": "  s: {src_ip|cidr: 10.0.0.32/27}\n  condition: not s"})
+
+
+@register("match_predicates", """
+SELECT 'late' AS rule, event_id AS id FROM events WHERE hour(ts) >= 20
+UNION ALL SELECT 'failed', event_id FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'dear', event_id FROM events WHERE value > 40""")
+def match_predicates(spark, sf_dir):
+    """Rules given as columns, next to one from a file."""
+    stored = as_sshd(spark, sf_dir).join(events(spark, sf_dir).select(text_id().alias("event_id"), "value"), "event_id")
+    rules = check_rules(rules_from_text(rule_file("{service: sshd}", {"failed": "  s: {action: failed_password}\n  condition: s"})))
+    found = match_events(stored, rules, {"late": ("ssh", F.hour("ts") >= 20), "dear": ("ssh", F.col("value") > 40), "never": ("nginx", F.lit(True))})
+    return found.select("rule", F.col("match_id").cast("bigint").alias("id"))
+
+
 @register("match_routing", """
 SELECT 'started' AS rule, event_id AS id FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0
 UNION ALL SELECT 'any_windows', event_id FROM events WHERE user_id % 2 = 0

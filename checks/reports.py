@@ -51,6 +51,13 @@ def scan_source(spark, sf_dir):
     return lookup.scan_events(table(spark, sf_dir, "documents"), "src3").select("doc_id", "lang")
 
 
+@register("scan_days", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09' AND event_type = 'view'")
+def scan_days(spark, sf_dir):
+    """A source between two days, both included."""
+    stored = events(spark, sf_dir).withColumns({"day": F.to_date(utc()), "source": F.col("event_type")})
+    return lookup.scan_events(stored, "view", "2024-01-05", "2024-01-08").select("event_id", "event_type")
+
+
 @register("count_events", "SELECT count(*) AS events FROM events")
 def count_events(spark, sf_dir):
     return lookup.count_events(events(spark, sf_dir))

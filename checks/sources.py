@@ -155,6 +155,7 @@ def sshd_line() -> Column:
                .when(kind == "signup", F.concat(F.lit("Invalid user "), user, source))
                .when(kind == "view", F.concat(F.lit("Connection closed by authenticating user "), user, F.lit(" "),
                                               address(F.col("user_id")), port, F.lit(" [preauth]")))
+               .when(k % 3 == 0, F.concat(F.lit("error: maximum authentication attempts exceeded for "), user, source, port, F.lit(" ssh2 [preauth]")))
                .otherwise(F.concat(F.lit("Server listening on 0.0.0.0"), port)))
     padded = F.concat(F.date_format(utc(), "MMM "), F.lpad(F.date_format(utc(), "d"), 2, " "),
                       F.date_format(utc(), " HH:mm:ss"))
@@ -173,12 +174,12 @@ SELECT event_id AS lineno,
             WHEN k % 3 = 0 THEN epoch_us(ts) - 7200000000 ELSE epoch_us(ts) - 3600000000 END AS ts_us,
        concat('host', user_id % 7) AS host, CASE WHEN k % 4 = 0 THEN '' ELSE event_id::VARCHAR END AS process_id,
        CASE event_type WHEN 'error' THEN 'failed_password' WHEN 'purchase' THEN 'accepted' WHEN 'signup' THEN 'invalid_user'
-                       WHEN 'view' THEN 'preauth_close' ELSE 'other' END AS action,
-       CASE WHEN event_type <> 'click' THEN concat('u', k) END AS username,
-       CASE WHEN event_type <> 'click' THEN {ADDRESS_SQL} END AS client,
-       CASE WHEN event_type = 'signup' THEN 0 WHEN event_type <> 'click' THEN 1000 + k ELSE -1 END::BIGINT AS port,
-       CASE event_type WHEN 'error' THEN 'password' WHEN 'purchase' THEN 'publickey' WHEN 'click' THEN NULL ELSE '' END AS method,
-       CASE WHEN event_type <> 'click' THEN event_type = 'signup' OR (event_type = 'error' AND k % 2 = 0) END::VARCHAR AS invalid
+                       WHEN 'view' THEN 'preauth_close' ELSE CASE WHEN k % 3 = 0 THEN 'max_auth' ELSE 'other' END END AS action,
+       CASE WHEN event_type <> 'click' OR k % 3 = 0 THEN concat('u', k) END AS username,
+       CASE WHEN event_type <> 'click' OR k % 3 = 0 THEN {ADDRESS_SQL} END AS client,
+       CASE WHEN event_type = 'signup' THEN 0 WHEN event_type <> 'click' OR k % 3 = 0 THEN 1000 + k ELSE -1 END::BIGINT AS port,
+       CASE event_type WHEN 'error' THEN 'password' WHEN 'purchase' THEN 'publickey' WHEN 'click' THEN CASE WHEN k % 3 = 0 THEN '' END ELSE '' END AS method,
+       CASE WHEN event_type <> 'click' OR k % 3 = 0 THEN event_type = 'signup' OR (event_type = 'error' AND k % 2 = 0) END::VARCHAR AS invalid
 FROM e WHERE k % 10 <> 9""")
 def sshd_log(spark, sf_dir):
     """Times with and without a year and a zone; the message families."""
@@ -244,6 +245,15 @@ def windows_json_nested(spark, sf_dir):
     return windows_columns(windows_json_events(lines(with_k(spark, sf_dir), windows_json(True))))
 
 
+@register("windows_json_ticks", """
+SELECT event_id, epoch_us(ts) // 1000 * 1000 AS ts_us, json_extract_string(props, '$.k')::BIGINT AS number FROM events""")
+def windows_json_ticks(spark, sf_dir):
+    """Times as /Date(milliseconds)/."""
+    line = F.to_json(F.struct(F.concat(F.lit("/Date("), F.floor(F.unix_micros(utc()) / 1000), F.lit(")/")).alias("SystemTime"), F.col("k").alias("Id")))
+    read = windows_json_events(lines(with_k(spark, sf_dir), line)).filter("ok")
+    return read.select(F.col("lineno").alias("event_id"), F.unix_micros("ts").alias("ts_us"), field("EventID").cast("bigint").alias("number"))
+
+
 @register("windows_json_flat", WINDOWS_SQL.format(
     time="round(epoch_us(ts) / 1000)::BIGINT * 1000", logon="k::BIGINT", address=ADDRESS_SQL, where="WHERE k % 10 <> 9"))
 def windows_json_flat(spark, sf_dir):

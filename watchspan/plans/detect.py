@@ -14,6 +14,7 @@ from watchspan.operators.correlation import Correlation, merge_of, rule_list
 from watchspan.operators.evidence import (
     burst_members, chain_members, events_behind, first_events, once_each, union_all)
 from watchspan.operators.matching import match_events
+from watchspan.plans.lookup import between_days
 from watchspan.rules import Rule, levels_of, rules_table, silenced
 from watchspan.schema import BURSTS, EVIDENCE_IN_ALERT, to_timestamp_us
 from watchspan.session import stable_storage, use_utc
@@ -131,12 +132,13 @@ def correlation_levels(rules: list[Rule]) -> list[list[Correlation]]:
 
 def detect(events: DataFrame, rules: list[Rule],
            keep: Callable[[DataFrame], DataFrame] = stable_storage,
-           ids_in_alert: int = EVIDENCE_IN_ALERT) -> Detection:
+           ids_in_alert: int = EVIDENCE_IN_ALERT, first: str | None = None, last: str | None = None) -> Detection:
     """Alerts are a function of the events and rules alone; run again, they come out the same.
 
-    The matches, a small part of the events, are kept, as every level reads them.
+    The matches, a small part of the events, are kept, as every level reads them. ``first`` and ``last`` are days.
     """
     use_utc(events.sparkSession)
+    events = between_days(events, first, last)
     matches = keep(match_events(events, rules))
     levels = correlation_levels(rules)
     if not levels:

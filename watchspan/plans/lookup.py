@@ -9,8 +9,16 @@ from watchspan.operators.evidence import first_events, numbered
 from watchspan.schema import LEVELS, SOURCES, iso_seconds
 
 
-def scan_events(events: DataFrame, source: str | None = None) -> DataFrame:
+def between_days(events: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Events of a range of days, both included. The stored table has a folder per day: others are not read."""
+    if first:
+        events = events.filter(F.col("day") >= F.lit(first).cast("date"))
+    return events.filter(F.col("day") <= F.lit(last).cast("date")) if last else events
+
+
+def scan_events(events: DataFrame, source: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Unsorted: whoever needs an order knows how much of it."""
+    events = between_days(events, first, last)
     return events.filter(F.col("source") == source) if source else events
 
 
@@ -28,9 +36,9 @@ def top(ordered: DataFrame, limit: int | None) -> DataFrame:
 
 
 def search_events(events: DataFrame, source: str | None = None, term: str = "",
-                  limit: int | None = None) -> DataFrame:
+                  limit: int | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Newest events of a source whose raw line holds the term in any case. No wildcards."""
-    found = scan_events(events, source if source in SOURCES else None)
+    found = scan_events(events, source if source in SOURCES else None, first, last)
     if term:
         found = found.filter(F.contains(F.lower("raw"), F.lower(F.lit(term))))
     return top(found.orderBy(F.desc("ts"), F.desc("event_id")), limit)
