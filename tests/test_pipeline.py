@@ -98,7 +98,7 @@ def test_lookups(spark, stored):
     events, found, _ = stored
     assert lookup.search_events(events, "nginx", "SCRIPT").count() == 3
     assert lookup.search_events(events, "nginx", "_cript").count() == 0
-    assert lookup.search_events(events, "nginx", limit=0).count() == 1
+    assert lookup.search_events(events, "nginx", limit=2).count() == 2 and lookup.search_events(events, "nginx").count() == 53
     assert lookup.search_events(events, "nginx").first()["ts"] == at(5002).replace(tzinfo=None)
     worst = lookup.search_alerts(found.alerts, "high").collect()
     assert [a["rule"] for a in worst] == ["ssh_compromise", "ssh_bruteforce", "win_log_cleared", "win_log_cleared"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchspan.functions.fields import present
 from watchspan.schema import MERGE_GAP_SECONDS, MICROS
+from watchspan.session import local_table
 
 
 @dataclasses.dataclass(frozen=True)
@@ -48,8 +49,8 @@ def merge_of(rule: str) -> Correlation:
 
 
 def rule_list(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table with one row per rule reference. Its size is known to the optimizer, which picks the join."""
-    return spark.createDataFrame(rows, schema)
+    """A table with one row per rule reference."""
+    return local_table(spark, rows, schema)
 
 
 def members(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchspan.functions.fields import present
 from watchspan.rules import Rule, rules_table
 from watchspan.schema import LEVELS, iso_seconds, level_name
-from watchspan.session import stable_storage
+from watchspan.session import local_table, stable_storage
 
 HOUR, DAY = 3600, 86400
 HOURLY_UP_TO = 3 * DAY
@@ -26,7 +26,7 @@ def events_range(events: DataFrame) -> DataFrame:
 
 def alerts_by_level(alerts: DataFrame) -> DataFrame:
     """All five levels, worst first, with 0 where there are no alerts."""
-    levels = alerts.sparkSession.createDataFrame(list(enumerate(LEVELS)), "level_rank int, level string")
+    levels = local_table(alerts.sparkSession, list(enumerate(LEVELS)), "level_rank int, level string")
     counts = alerts.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     return (levels.join(counts, "level", "left")
             .select("level", F.coalesce("n", F.lit(0)).alias("alerts"), "level_rank")

@@ -6,7 +6,10 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +55,10 @@ def stable_storage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/watchspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's own rows whose size the optimizer knows, so that it sends small ones to all tasks."""
+    kind = StructType.fromDDL(schema)
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in kind]
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(kind)), kind)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchspan.session import local_table
 from watchspan.sources.lines import iso_time, once, parsed, read_lines
 
 TEXT_MAP = "map<string,string>"
@@ -237,7 +238,7 @@ def read_windows(spark: SparkSession, paths: str | Iterable[str], host: str = ""
         unclosed = [f for f in xml if looks[f][1]]
         if unclosed:
             ends = chunks.groupBy("origin").agg(F.max("lineno").alias("lineno"))
-            cut = ends.join(spark.createDataFrame([(f,) for f in unclosed], "origin string"), "origin", "left_semi")
+            cut = ends.join(local_table(spark, [(f,) for f in unclosed], "origin string"), "origin", "left_semi")
             chunks = chunks.join(cut, ["origin", "lineno"], "left_anti")
         parts.append(windows_xml_events(xml_chunks(chunks), host))
     return reduce(DataFrame.unionByName, parts)
