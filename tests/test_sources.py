@@ -118,11 +118,11 @@ def element(number="4625", time="2031-03-02T05:06:07.123456700Z", computer="PC-3
 
 def test_windows_records_in_xml(spark):
     data = '<Data Name="TargetUserName">ines &lt;3</Data><Data Name="Blank"/><Data>loose</Data>'
-    more = '<UserData><k:Case xmlns:k="urn:k"><k:Colour> red &amp; blue </k:Colour></k:Case></UserData>'
+    more = '<UserData><k:Case xmlns:k="urn:k"><k:Colour> red &amp; bl&#x75;e </k:Colour><Note><![CDATA[a < b & c]]></Note><None/></k:Case></UserData>'
     full, unnamed, cut, empty, word = read_all(spark, windows_xml_events, [
         element(data=data, more=more), element("4688", computer="", data='<Data Name="NewProcessName">D:\\tool.exe</Data>'), element()[:-12], "<Event/>", element("many")])
     assert full[:2] == (datetime(2031, 3, 2, 5, 6, 7, 123456), "PC-3")
-    assert full[2] == {"TargetUserName": "ines <3", "Blank": "", "Data": "loose", "Colour": "red & blue", "EventID": "4625", "Channel": "Security",
+    assert full[2] == {"TargetUserName": "ines <3", "Blank": "", "Data": "loose", "Colour": "red & blue", "Note": "a < b & c", "None": "", "EventID": "4625", "Channel": "Security",
                        "Provider": "Door & Lock", "Computer": "PC-3"}
     assert unnamed[1] == "windows" and unnamed[2]["Image"] == "D:\\tool.exe" and unnamed[2]["ParentImage"] == ""
     assert cut is None and empty is None and word is None

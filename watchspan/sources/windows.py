@@ -142,25 +142,26 @@ def windows_json_events(lines: DataFrame, host: str = "") -> DataFrame:
                      either("computer"), F.map_entries(F.from_json("data_text", TEXT_MAP)))
 
 
-def _unescaped(text: Column) -> Column:
-    for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(written), F.lit(meant))
-    return text
+# What an element without children holds: text and CDATA sections.
+_INSIDE = r"[^<]*(?:<!\[CDATA\[(?s:.*?)\]\]>[^<]*)*"
 
 
 def _other_leaves(chunk: Column) -> Column:
-    """Elements without children in UserData, and in EventData other than Data: name and text."""
+    """Elements without children in UserData, and in EventData other than Data: name and text.
+
+    Each is cut out as it stands and read by the XML reader, so that references and CDATA mean what they say.
+    """
     section = F.concat(
         F.regexp_extract(chunk, r"(?s)<UserData[^>]*>(.*)</UserData>", 1),
         F.regexp_replace(F.regexp_extract(chunk, r"(?s)<EventData[^>]*>(.*)</EventData>", 1),
-                         r"<Data(?:\s[^<>]*)?(?:/>|>[^<]*</Data>)", ""))
-    leaves = F.regexp_extract_all(section, F.lit(r"<([^\s<>/]+)[^<>]*(?:/>|>[^<]*</\1\s*>)"), F.lit(0))
+                         rf"<Data(?:\s[^<>]*)?(?:/>|>{_INSIDE}</Data>)", ""))
+    leaves = F.regexp_extract_all(section, F.lit(rf"<([^\s<>/!]+)[^<>]*(?:/>|>{_INSIDE}</\1\s*>)"), F.lit(0))
 
     def entry(leaf: Column) -> Column:
         tag = F.regexp_extract(leaf, r"\A<(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1)
-        name = _unescaped(F.regexp_extract(leaf, r"""\A<[^<>]*?\sName\s*=\s*["']([^"'<>]*)""", 1))
-        text = F.regexp_replace(_unescaped(F.regexp_extract(leaf, r">([^<]*)<", 1)), r"\A\s+|\s+\z", "")
-        return F.struct(F.when(name != "", name).otherwise(tag).alias("key"), text.alias("value"))
+        read = F.from_xml(leaf, F.lit("_VALUE string, _Name string"))
+        name = F.coalesce(read["_Name"], F.lit(""))
+        return F.struct(F.when(name != "", name).otherwise(tag).alias("key"), F.coalesce(read["_VALUE"], F.lit("")).alias("value"))
 
     return F.when(chunk.contains("<UserData") | (section != ""), F.transform(leaves, entry)).otherwise(
         F.array().cast("array<struct<key:string,value:string>>"))
