@@ -111,6 +111,13 @@ def test_windows_records_in_json(spark):
     assert read_all(spark, windows_json_events, bad) == [None] * len(bad)
 
 
+@pytest.mark.parametrize("text, want", [("20310302T050607Z", (5, 6, 7)), ("20310302T0506+0100", (4, 6, 0)), ("20310302T050607.5", (5, 6, 7)),
+                                        ("203103021", None), ("20310302T05x", None)])
+def test_times_in_the_basic_form(spark, text, want):
+    got = read_one(spark, windows_json_events, json.dumps({"EventID": 1, "TimeCreated": text}))
+    assert (got and (got[0].hour, got[0].minute, got[0].second)) == want
+
+
 def element(number="4625", time="2031-03-02T05:06:07.123456700Z", computer="PC-3", data="", more=""):
     return (f'<Event xmlns="urn:made-up"><System><Provider Name="Door &amp; Lock"/><EventID>{number}</EventID><TimeCreated SystemTime="{time}"/>'
             f"<Channel>Security</Channel><Computer>{computer}</Computer></System><EventData>{data}</EventData>{more}</Event>")

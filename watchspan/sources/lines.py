@@ -57,8 +57,16 @@ _ISO_DAY = r"\A\d{4}-\d{2}-\d{2}"
 _ISO_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
 
 
+def _extended(text: Column) -> Column:
+    """The basic form, ``20310302T050607Z``, with its dashes and colons."""
+    day = F.regexp_replace(text, r"\A(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    full = F.regexp_replace(day, rf"({_ISO_DAY}T\d{{2}})(\d{{2}})(\d{{2}})", "$1:$2:$3")
+    return F.regexp_replace(full, rf"({_ISO_DAY}T\d{{2}})(\d{{2}})(?=Z|[+-]|\z)", "$1:$2")
+
+
 def iso_time(text: Column, offset: str) -> Column:
     """An ISO-8601 time; ``offset`` applies if it names no zone. NULL if it is not one."""
+    text = F.when(text.rlike(r"\A\d{8}(?:T|\z)"), _extended(text)).otherwise(text)
     complete = text.rlike(rf"{_ISO_DAY}[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?{_ISO_ZONE}\z")
     shortened = text.rlike(rf"{_ISO_DAY}(?:[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?{_ISO_ZONE}?\z")
     timed = F.regexp_replace(F.regexp_replace(text, rf"{_ISO_DAY}(?![T ])", "$0T00:00"),
