@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 from llm_helpers import documents, empty, odd_texts
 from watchspan.llm import secret_scan as S
 
