@@ -82,15 +82,17 @@ def mix(*parts) -> np.ndarray:
     return out
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, beginning: int | None = None) -> tuple[np.ndarray, ...]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, beginning: int | None = None, word: np.ndarray = WORD) -> tuple[np.ndarray, ...]:
     """A 64-bit hash of each word (A-Z lower-cased) and its row; with ``beginning``, one of so many first bytes too.
 
+    ``word`` says which bytes belong to words.
+
     Words are the values of polynomials in their bytes, taken from one running sum over the whole batch.
     """
     n = len(data)
     if not n:
         return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))[:2 + (beginning is not None)]
-    inside = WORD[data]
+    inside = word[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     first, last = inside.copy(), inside.copy()

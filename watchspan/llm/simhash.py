@@ -16,7 +16,7 @@ nobody else is in the component); an empty table gives none; other columns are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -301,17 +301,20 @@ def linked(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, component_id), a row for each row of ``docs``."""
     rows = keep(fingerprints(docs, text))
-    fps = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = fps.join(linked(fps).withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = keep(roots)
+    return group_ids(rows, linked(keep(rows.select("fp").distinct())))
+
+
+def group_ids(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with the least ``doc_id`` of each one's component, from the (node, root) of those that have a link."""
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = keep(fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` names their component, each once; rows in a component without any id stay."""
-    rows = near_duplicates(docs)
+    rows = groups(docs)
     stay = keep(rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.min("fp").alias("fp"))
                 .groupBy("doc_id", "fp").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash"))
     marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
