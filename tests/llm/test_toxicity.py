@@ -52,3 +52,17 @@ def test_slots_are_distinct_and_stay_within_a_text():
     two = toxicity.slots_of(*flat(pa.array(["red fox", None, "red fox red fox"])))
     assert set(one[1]) == set(two[1][two[0] == 2])
     assert len(set(two[1][two[0] == 0])) == 5 and not (two[0] == 1).any()
+
+
+def test_long_texts_are_learned_whole(spark, monkeypatch):
+    """A model learned for each word of a toxic text with far more than 4,000 features, none left out."""
+    texts = {0: " ".join(f"bad{k}" for k in range(3000)), 1: "good words only", 2: ""}
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    weighed = lambda rows, labels: ((np.bincount(np.concatenate(rows), minlength=1 << toxicity.BITS) > 0).astype(float), 0.0)
+    monkeypatch.setattr(toxicity, "ftrl", weighed)
+    import pyarrow as pa
+    from watchspan.llm.arrays import flat
+
+    whole = toxicity.slots_of(*flat(pa.array(list(texts.values()))))[1]
+    model = toxicity.fit(documents(spark, texts), labels)
+    assert len(set(whole)) > 8000 and set(model.slots) == set(whole)

@@ -7,8 +7,8 @@ is sent to the tasks; its length is bounded by the slots of the training sample,
 Scores are computed where the texts lie.
 
 The classifier is fitted on a bounded sample: the ``sample`` labelled rows (of those allowed) with the smallest hash of
-their id. Their feature slots are made in parallel; the passes of the learner itself run in one task, over at most
-``sample`` rows of at most ``slots`` slots each, chosen by hash where a text has more (in training only).
+their id, each with all its features. Their feature slots are made in parallel; the passes of the learner itself run in
+one task, which lays the rows in a temporary file and maps it, so that its memory does not grow with their length.
 
 Defined cases: a null or empty text has no features and scores by the intercept alone; of several labels for one
 document the highest counts; a null label is none; without labelled rows every score is 0.5 less a hair (predicted 0);
@@ -17,18 +17,20 @@ repeated rows each get a row; other columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchspan.llm.arrays import flat, hashed_words, mix, pieces
 from watchspan.llm.common import table
 
-BITS, SAMPLE, SLOTS, MOST = 20, 20_000, 4_000, 200_000
+BITS, SAMPLE, MOST = 20, 20_000, 200_000
 #: Distances between the words of a feature; None: the first bytes of a word, which inflected forms share.
 SHAPES, BEGINNING = ((), (1,), (1, 2), (2,), None), 6
 
@@ -88,7 +90,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: f
     return final[:-1], float(final[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = SAMPLE, slots: int = SLOTS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = SAMPLE) -> Model:
     """From (doc_id, text) and (doc_id, toxic); ``allowed`` says, of a ``doc_id``, whether its label may be learned."""
     own = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if allowed is not None:
@@ -99,22 +101,27 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             row, slot = slots_of(*flat(batch.column("text")))
-            rank = mix(slot)
-            order = np.lexsort((rank, row))
-            count = np.bincount(row, minlength=batch.num_rows)
-            begin = np.concatenate([[0], np.cumsum(count)])
-            cells = [np.sort(slot[order[begin[k]:begin[k + 1]]][:slots]).astype(np.int32).tobytes() for k in range(batch.num_rows)]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            cells = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(begin[:-1], begin[1:])]
             yield pa.record_batch([batch.column("toxic"), pa.array(cells, pa.binary())], names=["toxic", "slots"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
-        for batch in batches:
-            labels += batch.column("toxic").to_pylist()
-            rows += [np.frombuffer(c, np.int32) for c in batch.column("slots").to_pylist()]
-        if rows:
+        ends, labels, digests = [0], [], []
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                labels += batch.column("toxic").to_pylist()
+                for cell in batch.column("slots"):
+                    cell = cell.as_buffer()
+                    file.write(cell)
+                    ends.append(ends[-1] + len(cell) // 4)
+                    digests.append(xxhash.xxh64_intdigest(cell))
+            if not labels:
+                return
+            file.flush()
+            data = np.memmap(file, np.int32, "r") if ends[-1] else np.zeros(0, np.int32)
             # Tasks may deliver rows in any order; the learner must not depend on it.
-            order = sorted(range(len(rows)), key=lambda k: (rows[k].tobytes(), labels[k]))
-            weights, intercept = ftrl([rows[k] for k in order], np.array(labels, float)[order])
+            order = sorted(range(len(labels)), key=lambda k: (digests[k], labels[k]))
+            weights, intercept = ftrl([data[ends[k]:ends[k + 1]] for k in order], np.array(labels, float)[order])
             used = np.flatnonzero(weights)
             yield pa.record_batch([pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([weights[used].tobytes()], pa.binary()),
                                    pa.array([intercept])], names=["slots", "weights", "intercept"])
