@@ -120,11 +120,11 @@ CORRELATION = "title: c\nname: c\ncorrelation: {type: event_count, rules: [t], t
     (rule_text("t", "s: {a: x}", "s and"), "well formed"),
     (rule_text("t", "s: {a: x}", "1 of y*"), "no selection"),
     (rule_text("t", "s: {a: x}", "2 of s*"), "unknown selection"),
-    (rule_text("t", "s: {a|re: '('}"), "regex"),
-    (rule_text("t", "s: {a|cidr: 1.2.3.4/99}"), "CIDR"),
+    (rule_text("t", "s: {a|re: '('}"), "not a pattern"),
+    (rule_text("t", "s: {a|cidr: 1.2.3.4/99}"), "not a network"),
     (rule_text("t", "s: {a|gt: many}"), "number"),
-    (rule_text("t", "s: just text"), "unsupported selection"),
-    (rule_text("t", "s: [{a: 1}, text]"), "unsupported selection"),
+    (rule_text("t", "s: just text"), "a selection is"),
+    (rule_text("t", "s: [{a: 1}, text]"), "a selection is"),
     (GOOD.replace("webserver", "mainframe"), "logsource"),
     (GOOD.replace("title: t", "level: urgent\ntitle: t"), "level"),
     (GOOD.replace("title: t", ""), "title"),

@@ -111,87 +111,100 @@ class TextColumns:
     lower: Column
 
 
+def _regex(value: Any) -> str:
+    try:
+        return java_pattern(str(value))
+    except re.error as fault:
+        raise RuleError(f"not a pattern: {value!r} ({fault})") from fault
+
+
+def _network(value: Any) -> str:
+    try:
+        return str(ipaddress.ip_network(str(value), strict=False))
+    except ValueError as fault:
+        raise RuleError(f"not a network: {value!r}") from fault
+
+
+def _number(value: Any) -> float:
+    try:
+        return float(value)
+    except (TypeError, ValueError) as fault:
+        raise RuleError(f"not a number to compare with: {value!r}") from fault
+
+
+def _needle(value: Any) -> str:
+    return text_of(value).lower()
+
+
+def _empty(field: TextColumns) -> Column:
+    return F.coalesce(field.text, F.lit("")) == ""
+
+
+def _matching(before: str, after: str, plain: Callable[[Column, Column], Column]) -> Callable[[TextColumns, str], Column]:
+    """``plain`` for a needle without wildcards, else a pattern between ``before`` and ``after``."""
+    return lambda field, needle: (field.lower.rlike(f"(?s){before}{wildcard_pattern(needle)}{after}") if has_wildcard(needle)
+                                  else plain(field.lower, F.lit(needle)))
+
+
+def _comparing(compare: Callable[[Any, Any], Any]) -> Callable[[TextColumns, float], Column]:
+    def build(field: TextColumns, limit: float) -> Column:
+        digits = F.regexp_replace(F.trim(field.text), "_", "")
+        return compare(F.when(field.text.rlike(NUMBER), digits.try_cast("double")), F.lit(limit))
+    return build
+
+
+@dataclasses.dataclass(frozen=True)
+class Kind:
+    """A way to compare: ``read`` makes the operand of a rule's value or refuses it, ``build`` the expression."""
+
+    read: Callable[[Any], Any]
+    build: Callable[[TextColumns, Any], Column]
+
+
+#: The first of these that a field name carries decides; a name without any is compared whole.
+KINDS = {
+    "exists": Kind(bool, lambda field, given: _empty(field) != given),
+    "re": Kind(_regex, lambda field, pattern: field.text.rlike(pattern)),
+    "cidr": Kind(_network, lambda field, network: in_network(field.text, network)),
+    **{name: Kind(_number, _comparing(compare)) for name, compare in COMPARISONS.items()},
+    "contains": Kind(_needle, _matching("", "", F.contains)),
+    "startswith": Kind(_needle, lambda field, needle: F.startswith(field.lower, F.lit(needle))),
+    "endswith": Kind(_needle, lambda field, needle: F.endswith(field.lower, F.lit(needle))),
+}
+WHOLE = Kind(_needle, _matching(r"\A", r"\z", operator.eq))
+
+
 @dataclasses.dataclass(frozen=True)
 class FieldTest:
-    """One ``field|modifiers: value(s)`` line of a rule. ``name`` is NULL for the raw line."""
+    """One line of a rule. ``name`` is NULL for the raw line; an operand of None asks for an empty field."""
 
     name: str | None
-    modifiers: tuple[str, ...]
-    values: tuple[Any, ...]
-
-    def __post_init__(self):
-        unknown = [m for m in self.modifiers if m not in MODIFIERS]
-        if unknown:
-            raise RuleError(f"field {self.name!r}: unsupported modifier {', '.join(unknown)}")
-        for value in self.values:
-            self._check(value)
-
-    def _check(self, value: Any) -> None:
-        if "exists" in self.modifiers or value is None:
-            return
-        if "re" in self.modifiers:
-            try:
-                re.compile(str(value), re.S)
-            except re.error as problem:
-                raise RuleError(f"invalid regex {value!r}: {problem}") from problem
-        elif "cidr" in self.modifiers:
-            try:
-                ipaddress.ip_network(str(value), strict=False)
-            except ValueError as problem:
-                raise RuleError(f"invalid CIDR {value!r}") from problem
-        elif set(COMPARISONS) & set(self.modifiers):
-            try:
-                float(value)
-            except (TypeError, ValueError) as problem:
-                raise RuleError(f"not a number to compare with: {value!r}") from problem
+    kind: Kind
+    operands: tuple[Any, ...]
+    every: bool = False
+
+    @classmethod
+    def of(cls, name: str | None, kind: Kind, values: Iterable[Any], every: bool = False) -> FieldTest:
+        return cls(name, kind, tuple(None if v is None and kind.read is not bool else kind.read(v) for v in values), every)
 
     @property
     def patterns(self) -> list[str]:
         """Regular expressions that Java still has to accept."""
-        if "re" not in self.modifiers or "exists" in self.modifiers:
-            return []
-        return [java_pattern(str(v)) for v in self.values if v is not None]
+        return [p for p in self.operands if p is not None] if self.kind is KINDS["re"] else []
 
     def column(self, field: TextColumns) -> Column:
-        if "exists" in self.modifiers:
-            given = F.coalesce(field.text, F.lit("")) != ""
-            return given if bool(self.values[0]) else ~given
-        tests = [self._one(field, value) for value in self.values]
-        return all_of(tests) if "all" in self.modifiers else any_of(tests)
-
-    def _one(self, field: TextColumns, value: Any) -> Column:
-        if value is None:
-            return F.coalesce(field.text, F.lit("")) == ""
-        if "re" in self.modifiers:
-            return _certain(field.text.rlike(java_pattern(str(value))))
-        if "cidr" in self.modifiers:
-            return in_network(field.text, str(value))
-        for name, compare in COMPARISONS.items():
-            if name in self.modifiers:
-                number = F.when(field.text.rlike(NUMBER), F.regexp_replace(
-                    F.trim(field.text), "_", "").try_cast("double"))
-                return _certain(compare(number, F.lit(float(value))))
-        wanted = text_of(value).lower()
-        if "contains" in self.modifiers:
-            if has_wildcard(wanted):
-                return _certain(field.lower.rlike(f"(?s){wildcard_pattern(wanted)}"))
-            return _certain(F.contains(field.lower, F.lit(wanted)))
-        if "startswith" in self.modifiers:
-            return _certain(F.startswith(field.lower, F.lit(wanted)))
-        if "endswith" in self.modifiers:
-            return _certain(F.endswith(field.lower, F.lit(wanted)))
-        if has_wildcard(wanted):
-            return _certain(field.lower.rlike(rf"(?s)\A{wildcard_pattern(wanted)}\z"))
-        return _certain(field.lower == wanted)
+        tests = [_empty(field) if v is None else _certain(self.kind.build(field, v)) for v in self.operands]
+        return all_of(tests) if self.every else any_of(tests)
 
 
 def field_test(key: str, expected: Any) -> FieldTest:
-    name, *modifiers = key.split("|")
-    if "exists" in modifiers:
-        values: tuple = (bool(expected),)
-    else:
-        values = tuple(expected) if isinstance(expected, list) else (expected,)
-    return FieldTest(name, tuple(modifiers), values)
+    """``field|modifiers`` and the value or values it is compared with."""
+    name, *carried = key.split("|")
+    if strange := sorted(set(carried) - set(MODIFIERS)):
+        raise RuleError(f"field {name!r} has modifiers that do not exist: {', '.join(strange)}")
+    kind = next((k for m, k in KINDS.items() if m in carried), WHOLE)
+    values = expected if isinstance(expected, list) and "exists" not in carried else [expected]
+    return FieldTest.of(name, kind, values, every="all" in carried)
 
 
 Lookup = Callable[[str | None], TextColumns]
@@ -214,11 +227,10 @@ class Selection:
 
 def selection(spec: Any) -> Selection:
     """A map (all fields), a list of maps (any map) or a list of words (any word in the raw line)."""
-    if isinstance(spec, dict):
-        return Selection((tuple(field_test(str(k), v) for k, v in spec.items()),))
-    if isinstance(spec, list):
-        if all(isinstance(item, dict) for item in spec):
-            return Selection(tuple(a for item in spec for a in selection(item).alternatives))
-        if not any(isinstance(item, (dict, list)) for item in spec):
-            return Selection(((FieldTest(None, ("contains",), tuple(spec)),),))
-    raise RuleError(f"unsupported selection {spec!r}")
+    items = spec if isinstance(spec, list) else [spec]
+    maps = [isinstance(item, dict) for item in items]
+    if all(maps):
+        return Selection(tuple(tuple(field_test(str(k), v) for k, v in item.items()) for item in items))
+    if isinstance(spec, list) and not any(m or isinstance(item, list) for m, item in zip(maps, items)):
+        return Selection(((FieldTest.of(None, KINDS["contains"], items),),))
+    raise RuleError(f"a selection is a map, a list of maps or a list of words, not {spec!r}")
