@@ -6,6 +6,7 @@ import brute_force
 import pytest
 from pyspark.sql import functions as F
 
+from watchspan.operators import dense
 from watchspan.operators.bursts import find_bursts
 from watchspan.operators.chains import find_chains
 from watchspan.operators.correlation import Correlation
@@ -50,7 +51,14 @@ def matches(spark, groups):
     return as_matches(spark, groups).cache()
 
 
-def test_counts_and_distinct_counts(groups, matches):
+@pytest.fixture(params=[dense.PER_BUCKET, 2])
+def per_bucket(request, monkeypatch):
+    """As it is, and so small that most groups are cut into many buckets."""
+    monkeypatch.setattr(dense, "PER_BUCKET", request.param)
+    monkeypatch.setattr(dense, "BLOCK", 3)
+
+
+def test_counts_and_distinct_counts(groups, matches, per_bucket):
     correlations, expected = [], []
     for span in (0, 1, 2, 5, 8):
         for op in ("gte", "gt", "eq"):
@@ -67,7 +75,7 @@ def test_counts_and_distinct_counts(groups, matches):
     assert found == sorted(expected)
 
 
-def test_temporal(groups, matches):
+def test_temporal(groups, matches, per_bucket):
     correlations, expected = [], []
     for span in (0, 1, 3, 8):
         for rules in ("ab", "abc", "c"):
@@ -100,21 +108,36 @@ def test_bag_union_counts_a_rule_listed_twice(spark):
     assert collected(find_bursts(matches, [twice]), "n_matches") == [("t", "x", 4)]
 
 
-def test_one_group_over_many_slices_equals_one_slice(spark):
-    """A hot group: thousands of instants without a pause, cut into slices, is still one burst."""
-    rows = spark.range(20_000).select(
-        F.lit("a").alias("rule"), (F.col("id") * 300_000).alias("ts_us"),
-        F.col("id").cast("string").alias("match_id"), F.lit("").alias("entity"),
-        F.create_map(F.lit("g"), F.lit("hot"), F.lit("v"), (F.col("id") % 3).cast("string"))
-        .alias("fields"))
+def one_group(spark, instants, step, values=3):
+    return spark.range(instants).select(
+        F.lit("a").alias("rule"), (F.col("id") * step).alias("ts_us"), F.col("id").cast("string").alias("match_id"), F.lit("").alias("entity"),
+        F.create_map(F.lit("g"), F.lit("hot"), F.lit("v"), (F.col("id") % values).cast("string")).alias("fields"))
+
+
+def test_a_group_over_many_buckets_is_still_one_burst(spark, per_bucket, monkeypatch):
+    if dense.PER_BUCKET == 2:
+        monkeypatch.setattr(dense, "PER_BUCKET", 700)
     every = Correlation("n", "event_count", ["a"], [], 1_000_000, "gte", 4)
     kinds = Correlation("d", "value_count", ["a"], ["g"], 1_000_000, "gte", 3, "v")
     found = sorted((r["rule"], r["grp"], r["first_us"], r["trigger_us"], r["last_us"], r["n_matches"])
-                   for r in find_bursts(rows, [every, kinds]).collect())
+                   for r in find_bursts(one_group(spark, 20_000, 300_000), [every, kinds]).collect())
     last = 19_999 * 300_000
     assert found == [("d", ["hot"], 0, 600_000, last, 20_000), ("n", [], 0, 900_000, last, 20_000)]
 
 
+def test_a_dense_group_inside_one_span_is_spread_over_tasks(spark, monkeypatch):
+    """200,000 instants, all live at once: no bucket holds more than a few per cent of them or of the ends of their spans."""
+    monkeypatch.setattr(dense, "PER_BUCKET", 10_000)
+    rows, span = one_group(spark, 200_000, 1, 50), 1_000_000
+    every = Correlation("n", "event_count", ["a"], [], span, "gte", 150_001)
+    kinds = Correlation("d", "value_count", ["a"], ["g"], span, "gte", 50, "v")
+    found = sorted((r["rule"], r["first_us"], r["trigger_us"], r["last_us"], r["n_matches"]) for r in find_bursts(rows, [every, kinds]).collect())
+    assert found == [("d", 0, 49, 199_999, 200_000), ("n", 0, 150_000, 199_999, 200_000)]
+    points = rows.select(F.lit("n").alias("corr"), F.array().cast("array<string>").alias("grp"), F.explode(F.array("ts_us", F.col("ts_us") + span)).alias("at"))
+    sizes = [r["count"] for r in dense.placed(points, dense.cuts_of(points), "at").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 0.04 * sum(sizes)
+
+
 def test_leaving_out_idle_groups_changes_nothing(matches):
     windowed = [Correlation("n", "event_count", ["a", "c"], ["g"], 2 * UNIT, "gte", 4),
                 Correlation("q", "event_count", ["a"], ["g"], 2 * UNIT, "eq", 0),

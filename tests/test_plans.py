@@ -27,13 +27,13 @@ def test_one_scan_per_source_and_only_needed_columns(spark, tmp_path):
     assert "raw:string" not in text and "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
-def test_any_number_of_count_correlations_takes_three_shuffles(spark):
+def test_any_number_of_count_correlations_takes_two_shuffles(spark):
     matches = spark.createDataFrame([], MATCHES)
     many = [Correlation(f"c{i}", "event_count", ["a"], ["g"], (i + 1) * 1_000_000, "gte", i) for i in range(40)]
     for chosen in (many[:1], many):
         text = plan(find_bursts(matches, chosen))
-        assert text.count("Exchange hashpartitioning") == 3
-        # Counted on the map side first, and spread by slice before anything is put in order.
+        assert text.count("Exchange hashpartitioning") == 2
+        # Counted on the map side first, and by instant before anything is put in order.
         assert "partial_count" in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 

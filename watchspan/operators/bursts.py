@@ -7,8 +7,8 @@ window and all later ones of the session form one burst.
 
 All correlations are computed together. Matches are first counted per instant, which a map-side
 combine does before any shuffle, so the amount of ordered work follows the clock resolution and
-not the number of rows. The ordered steps run per time slice (see ``slices``); only one row per
-session and slice is ever brought together per group.
+not the number of rows. What is live is a running sum of +n at an instant and -n one span later. Where a
+group has too many instants for one task, all of this runs in buckets cut by density (see ``dense``).
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchspan.operators import slices
+from watchspan.operators import dense
 from watchspan.operators.correlation import Correlation, members, rule_list, without_idle_groups
-
-GROUP = ["corr", "grp"]
-SLICE = ["part", *GROUP, "slice"]
+from watchspan.operators.dense import GROUP
+from watchspan.session import stable_storage
 
 
 def _conditions(matches: DataFrame, correlations: list[Correlation]) -> DataFrame:
@@ -31,127 +30,109 @@ def _conditions(matches: DataFrame, correlations: list[Correlation]) -> DataFram
                      "corr string, span_us bigint, op string, threshold bigint")
 
 
-def _counted_instants(rows: DataFrame, conditions: DataFrame) -> DataFrame:
+def _counted(rows: DataFrame, conditions: DataFrame) -> DataFrame:
     """Every match is live for one span on its own account."""
-    instants = (rows.groupBy(*GROUP, "ts_us").agg(F.count(F.lit(1)).alias("n"))
-                .join(conditions, "corr"))
-    return slices.seen_later(instants).select(
-        *SLICE, "own", "ts_us", "n", F.col("n").alias("up"), F.col("n").alias("down"),
-        F.lit(False).alias("none_first"), "span_us", "op", "threshold")
+    return (rows.groupBy(*GROUP, "ts_us").agg(F.count(F.lit(1)).alias("n"))
+            .join(conditions, "corr")
+            .select(*GROUP, "ts_us", "n", F.col("n").alias("up"), F.col("n").alias("down"),
+                    F.lit(False).alias("none_first"), "span_us", "op", "threshold"))
 
 
-def _distinct_instants(rows: DataFrame, conditions: DataFrame, asks_for_none: bool) -> DataFrame:
+def _per_value(rows: DataFrame, conditions: DataFrame, asks_for_none: bool) -> DataFrame:
+    """Only a condition that asks for no values at all needs to know which match of an instant comes first."""
+    first_id = F.min("match_id") if asks_for_none else F.lit(None).cast("string")
+    return (rows.groupBy(*GROUP, "value", "ts_us")
+            .agg(F.count(F.lit(1)).alias("n"), first_id.alias("first_id"))
+            .join(conditions, "corr"))
+
+
+def _neighbours(df: DataFrame, keys: list[str], cuts: DataFrame | None) -> DataFrame:
+    """Adds ``before`` and ``after``: the instants next to a row's own among those of ``keys``."""
+    cells = keys if cuts is None else [*keys, "bucket"]
+    # A number stands first: sorting compares it, and texts only where it is equal.
+    placed = (df if cuts is None else dense.placed(df, cuts, "ts_us")).withColumn("part", F.xxhash64(*cells))
+    in_order = Window.partitionBy("part", *cells).orderBy("ts_us")
+    out = placed.withColumns({"before": F.lag("ts_us").over(in_order), "after": F.lead("ts_us").over(in_order)})
+    if cuts is None:
+        return out
+    out = dense.carried(out.drop("part"), keys, "bucket", last_before=(F.max("ts_us"), F.max))
+    out = dense.carried(out, keys, "bucket", later=True, first_after=(F.min("ts_us"), F.min))
+    return (out.withColumns({"before": F.coalesce("before", "last_before"), "after": F.coalesce("after", "first_after")})
+            .drop("bucket", "last_before", "first_after"))
+
+
+def _distinct(per_value: DataFrame, asks_for_none: bool, cuts: DataFrame | None) -> DataFrame:
     """A value is live while its latest occurrence is at most one span old.
 
     It comes up where the value was not live before and goes down one span after an occurrence
-    that no other follows in time. A match without a value takes part but raises nothing. Only a
-    condition that asks for no values at all needs to know whether such a match comes first.
+    that no other follows in time. A match without a value takes part but raises nothing.
     """
-    first_id = F.min("match_id") if asks_for_none else F.lit(None).cast("string")
-    per_value = (rows.groupBy(*GROUP, "value", "ts_us")
-                 .agg(F.count(F.lit(1)).alias("n"), first_id.alias("first_id"))
-                 .join(conditions, "corr"))
-    in_value = Window.partitionBy(*SLICE, "value").orderBy("ts_us")
-    gap_before = F.col("ts_us") - F.lag("ts_us").over(in_value)
-    gap_after = F.lead("ts_us").over(in_value) - F.col("ts_us")
-    span = F.col("span_us")
+    span, at = F.col("span_us"), F.col("ts_us")
     has_value = F.col("value").isNotNull()
-    marked = slices.seen_later(per_value).withColumns({
-        "up": (has_value & F.coalesce(gap_before > span, F.lit(True))).cast("bigint"),
-        "down": (has_value & F.coalesce(gap_after > span, F.lit(True))).cast("bigint"),
+    marked = _neighbours(per_value, [*GROUP, "value"], cuts).withColumns({
+        "up": (has_value & F.coalesce(at - F.col("before") > span, F.lit(True))).cast("bigint"),
+        "down": (has_value & F.coalesce(F.col("after") - at > span, F.lit(True))).cast("bigint"),
     })
     none_first = (F.min(F.struct("first_id", (~has_value).alias("none")))["none"] if asks_for_none
                   else F.lit(False))
-    return (marked.groupBy(*SLICE, "own", "ts_us", "span_us", "op", "threshold")
+    return (marked.groupBy(*GROUP, "ts_us", "span_us", "op", "threshold")
             .agg(F.sum("n").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"),
                  none_first.alias("none_first"))
-            .select(*SLICE, "own", "ts_us", "n", "up", "down", "none_first", "span_us", "op", "threshold"))
+            .select(*GROUP, "ts_us", "n", "up", "down", "none_first", "span_us", "op", "threshold"))
 
 
-def _live_counts(instants: DataFrame) -> DataFrame:
+def _live_counts(instants: DataFrame, cuts: DataFrame | None) -> DataFrame:
     """Per instant: live count before and after it, and the oldest match still in the window.
 
-    ``n_in`` and ``n_out`` are the matches that entered and left the window so far in this slice,
-    ``n_own`` those that entered and belong to the slice itself.
+    ``n_in`` and ``n_out`` are the matches that entered and left the window so far, ``began`` is the
+    first instant of the session.
     """
-    in_slice = Window.partitionBy(*SLICE)
     nothing = F.lit(None).cast("bigint")
     none = F.lit(0).cast("bigint")
+    opens = F.coalesce(F.col("ts_us") - F.col("before") > F.col("span_us"), F.lit(True))
     arrival = F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("expiry"),
                        F.col("up").alias("step"), F.col("n").alias("entered"), none.alias("left"),
-                       nothing.alias("oldest_next"))
+                       nothing.alias("oldest_next"), F.when(opens, F.col("ts_us")).alias("opened"))
     # Sorts after arrivals of the same instant: the window includes its far end.
     expiry = F.struct((F.col("ts_us") + F.col("span_us")).alias("at"), F.lit(1).alias("expiry"),
                       (-F.col("down")).alias("step"), none.alias("entered"), F.col("n").alias("left"),
-                      F.col("following").alias("oldest_next"))
-    changes = (instants
-               .withColumn("following", F.lead("ts_us").over(in_slice.orderBy("ts_us")))
+                      F.col("after").alias("oldest_next"), nothing.alias("opened"))
+    changes = (_neighbours(instants, GROUP, cuts)
                .withColumn("change", F.explode(F.array(arrival, expiry)))
                .select("*", "change.*").drop("change"))
-    so_far = (in_slice.orderBy("at", "expiry")
+    cells = GROUP
+    if cuts is not None:
+        cells = [*GROUP, "bucket"]
+        changes = stable_storage(dense.placed(changes, cuts, "at").withColumn("part", F.xxhash64(*cells)))
+    so_far = (Window.partitionBy("part", *cells).orderBy("at", "expiry")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    earlier = (in_slice.orderBy("at", "expiry")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    arrived = F.when(F.col("expiry") == 0, F.col("at"))
-    return (changes
-            .withColumns({
-                "live": F.sum("step").over(so_far),
-                "n_in": F.sum("entered").over(so_far),
-                "n_out": F.sum("left").over(so_far),
-                "n_own": F.sum(F.when(F.col("own"), F.col("entered")).otherwise(0)).over(so_far),
-                "oldest": F.coalesce(F.last("oldest_next", ignorenulls=True).over(so_far),
-                                     F.first("at").over(so_far)),
-                "previous": F.max(arrived).over(earlier),
-            })
-            .filter((F.col("expiry") == 0) & F.col("own")))
-
-
-def _session_pieces(live: DataFrame) -> DataFrame:
-    """One row per session and slice; ``began`` is NULL where the session came from earlier slices.
-
-    What holds at the first firing is found as a minimum, since all of it only grows with time.
-    """
+    # All of these only grow with time, but for the sum of steps.
+    running = {"live": (F.sum, "step"), "n_in": (F.sum, "entered"), "n_out": (F.sum, "left"),
+               "oldest": (F.max, "oldest_next"), "opened_last": (F.max, "opened"), "first_at": (F.min, "at")}
+    live = changes.withColumns({name: how(column).over(so_far) for name, (how, column) in running.items()})
+    if cuts is not None:
+        live = dense.carried(live, GROUP, "bucket", **{f"{name}_carried": (how(column), how) for name, (how, column) in running.items()})
+        join = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + b, F.max: F.greatest, F.min: F.least}
+        live = live.withColumns({name: join[how](F.col(f"{name}_carried"), F.col(name)) for name, (how, _) in running.items()}).withColumn("part", F.xxhash64(*GROUP))
+    return (live.filter(F.col("expiry") == 0)
+            .withColumns({"oldest": F.coalesce("oldest", "first_at"), "began": F.col("opened_last")}))
+
+
+def _sessions(live: DataFrame) -> DataFrame:
+    """One row per session that fires. What holds at the first firing is found as a minimum, since all of it only grows."""
     before = F.col("live") - F.col("up")
     limit = F.col("threshold")
     fires = (F.when(F.col("op") == "gte", F.col("live") >= limit)
              .otherwise(((before < limit) & (limit <= F.col("live")))
                         | ((limit == 0) & (before == 0) & F.col("none_first"))))
-    opens = F.coalesce(F.col("ts_us") - F.col("previous") > F.col("span_us"), F.lit(True))
-    so_far = (Window.partitionBy(*SLICE).orderBy("at", "expiry")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at_firing = {"fired_at": "ts_us", "fired_oldest": "oldest", "fired_in": "n_in", "fired_out": "n_out",
-                 "fired_own": "n_own"}
-    return (live
-            .withColumns({"began": F.max(F.when(opens, F.col("ts_us"))).over(so_far), "fires": fires})
-            .groupBy(*SLICE, "began")
-            .agg(F.min("ts_us").alias("piece_first"), F.max("ts_us").alias("piece_last"),
-                 F.sum("n").alias("piece_n"), F.max("n_own").alias("own_at_end"),
-                 *[F.min(F.when(F.col("fires"), F.col(value))).alias(name)
-                   for name, value in at_firing.items()])
-            .withColumn("firing", F.when(F.col("fired_at").isNotNull(), F.struct(
-                F.col("fired_at").alias("at_us"), F.col("fired_oldest").alias("oldest"),
-                (F.col("fired_in") - F.col("fired_out")).alias("n_live"),
-                F.col("fired_own").alias("n_own")))))
-
-
-def _join_pieces(pieces: DataFrame) -> DataFrame:
-    in_group = Window.partitionBy(*GROUP).orderBy("piece_first")
-    in_session = Window.partitionBy(*GROUP, "session")
-    fired = F.col("fired")
-    counted = (F.when(F.col("piece_first") > fired["at_us"], F.col("piece_n"))
-               .when(F.col("piece_last") >= fired["at_us"], F.col("own_at_end") - fired["n_own"])
-               .otherwise(0))
-    return (pieces
-            .withColumn("session", F.max("began").over(
-                in_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("fired", F.min("firing").over(in_session))
-            .filter(fired.isNotNull())
-            .groupBy(*GROUP, "session")
-            .agg(F.first("fired").alias("fired"), F.max("piece_last").alias("last_us"),
-                 F.sum(counted).alias("n_after"))
-            .select(F.col("corr").alias("rule"), "grp",
-                    fired["oldest"].alias("first_us"), fired["at_us"].alias("trigger_us"),
-                    "last_us", (fired["n_live"] + F.col("n_after")).alias("n_matches")))
+    at_firing = {"trigger_us": "ts_us", "first_us": "oldest", "gone": "n_out"}
+    return (live.withColumn("fires", fires)
+            .groupBy("part", *GROUP, "began")
+            .agg(F.max("ts_us").alias("last_us"), F.max("n_in").alias("entered"),
+                 *[F.min(F.when(F.col("fires"), F.col(value))).alias(name) for name, value in at_firing.items()])
+            .filter(F.col("trigger_us").isNotNull())
+            .select(F.col("corr").alias("rule"), "grp", "first_us", "trigger_us", "last_us",
+                    (F.col("entered") - F.col("gone")).alias("n_matches")))
 
 
 def with_alert_id(bursts: DataFrame) -> DataFrame:
@@ -162,7 +143,8 @@ def with_alert_id(bursts: DataFrame) -> DataFrame:
 def find_bursts(matches: DataFrame, correlations: list[Correlation], prune: bool = False) -> DataFrame:
     """Bursts of all given event_count, value_count, temporal and merge correlations.
 
-    ``prune`` leaves out groups that cannot fire before anything is put in order.
+    ``prune`` leaves out groups that cannot fire before anything is put in order. Rows per group are counted at
+    once, as dense groups are done in another way.
     """
     def rows_of(chosen: list[Correlation]) -> DataFrame:
         rows = members(matches, chosen)
@@ -175,10 +157,25 @@ def find_bursts(matches: DataFrame, correlations: list[Correlation], prune: bool
     if merges or counting:
         rows = [members(matches, merges)] if merges else []
         rows += [rows_of(counting)] if counting else []
-        parts.append(_counted_instants(reduce(DataFrame.unionByName, rows),
-                                       _conditions(matches, merges + counting)))
+        rows = reduce(DataFrame.unionByName, rows)
+        instants = _counted(rows, _conditions(matches, merges + counting))
+        if dense.has_dense_groups(rows):
+            instants = stable_storage(instants)
+            parts.append(_live_counts(instants, dense.cuts_of(_points(instants))))
+        else:
+            parts.append(_live_counts(instants, None))
     if distinct:
         asks_for_none = any(c.limit == ("eq", 0) for c in distinct)
-        parts.append(_distinct_instants(rows_of(distinct), _conditions(matches, distinct), asks_for_none))
-    instants = reduce(DataFrame.unionByName, parts)
-    return with_alert_id(_join_pieces(_session_pieces(_live_counts(instants))))
+        rows = rows_of(distinct)
+        per_value, cuts = _per_value(rows, _conditions(matches, distinct), asks_for_none), None
+        if dense.has_dense_groups(rows):
+            per_value = stable_storage(per_value)
+            cuts = dense.cuts_of(_points(per_value))
+        instants = _distinct(per_value, asks_for_none, cuts)
+        parts.append(_live_counts(instants if cuts is None else stable_storage(instants), cuts))
+    return with_alert_id(reduce(DataFrame.unionByName, [_sessions(live) for live in parts]))
+
+
+def _points(instants: DataFrame) -> DataFrame:
+    """All that has to be put in order: instants, and the ends of their spans."""
+    return instants.select(*GROUP, F.explode(F.array(F.col("ts_us"), F.col("ts_us") + F.col("span_us"))).alias("at"))

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchspan.operators import slices
-from watchspan.operators.bursts import GROUP, SLICE, with_alert_id
+from watchspan.operators.bursts import with_alert_id
 from watchspan.operators.correlation import Correlation, members, rule_list, without_idle_groups
+from watchspan.operators.dense import GROUP
 from watchspan.session import stable_storage
 
+SLICE = ["part", *GROUP, "slice"]
+
 
 def _shape(c: Correlation) -> tuple[bool, ...]:
     """For each step of the chain: does it repeat the rule of the step before?"""
