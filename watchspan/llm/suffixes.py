@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from watchspan.llm.arrays import flat
 from watchspan.llm.common import keep, shared_folder, table, text_of
+from watchspan.session import shuffles_dropped
 
 #: Bytes of text in a block, bytes keyed at a time, blocks' bytes for each partition, keys in a bucket.
 BLOCK, SLICE, PER_PART, PER_BUCKET = 2 << 20, 1 << 19, 16 << 20, 3_000_000
@@ -68,13 +69,15 @@ def difference_cover(period: int) -> list[int]:
 class Cover:
     """Period, sample residues and sample length for strings of ``length`` bytes. These periods have covers without a spare difference.
 
+    A longer period takes fewer samples, but they are shorter and tie more often, which brings more suffixes.
+
     Keys of samples keep ten bits more than it takes to number ``total`` bytes: a false tie only brings suffixes that then tie with nobody.
     """
 
     def __init__(self, length: int, total: int):
         self.length = length
         self.mask = np.uint64((1 << 64) - (1 << max(0, 54 - total.bit_length())))
-        self.period = max(v for v in (1, 3, 7, 13, 31) if v <= max(1, 5 * length // 8))
+        self.period = max(v for v in (1, 3, 7, 13, 21, 31) if v <= max(1, 3 * length // 10))
         self.width = length - self.period + 1
         self.sampled = np.zeros(self.period, bool)
         self.sampled[difference_cover(self.period)] = True
@@ -249,7 +252,8 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
         yield from settle(True)
 
     name = f"watchspan_{uuid.uuid4().hex}"
-    dealt.mapInArrow(make, BLOCKS).write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(parts, "part").saveAsTable(name)
+    with shuffles_dropped(spark):
+        dealt.mapInArrow(make, BLOCKS).write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(parts, "part").saveAsTable(name)
     return spark.table(name)
 
 
