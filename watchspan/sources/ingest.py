@@ -43,7 +43,8 @@ def with_event_id(parsed: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "source", "origin", F.col("lineno").cast("string"), "raw")
     return parsed.filter("ok").select(
         F.sha1(key).alias("event_id"), "ts", F.unix_micros("ts").alias("ts_us"), "source", "host",
-        "fields", "raw", "origin", F.to_date("ts").alias("day"))
+        "fields", "raw", "origin", F.to_date("ts").alias("day"),
+        *[c for c in parsed.columns if c == "arrived"])
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ PARSED = ["origin", "lineno", "raw", "ok", "ts", "source", "host", "fields"]
 
 def parsed(lines: DataFrame, source: str, ts: Column, host: Column, fields: Column,
            ok: Column) -> DataFrame:
-    """``fields`` is only built for lines that are ``ok`` and have a time."""
+    """``fields`` is only built for lines that are ``ok`` and have a time. ``arrived`` is carried on if there."""
     timed = once(lines, ts=F.when(ok, ts))
     sound = F.col("ts").isNotNull()
     return timed.select("origin", "lineno", "raw", sound.alias("ok"), "ts", F.lit(source).alias("source"),
-                        F.when(sound, host).alias("host"), F.when(sound, fields).alias("fields"))
+                        F.when(sound, host).alias("host"), F.when(sound, fields).alias("fields"),
+                        *[c for c in lines.columns if c == "arrived"])
 
 
 # White space in any script, as a character class body.
@@ -81,23 +82,47 @@ def whole_number(text: Column) -> Column:
     return F.regexp_replace(text, r"\A0+(?=\d)", "")
 
 
-def read_lines(spark: SparkSession, paths: str | Iterable[str], line_sep: str | None = None) -> DataFrame:
+LINE_END = r"\r\n|\r|\n"
+
+
+def not_blank(lines: DataFrame) -> DataFrame:
+    return lines.filter(~F.col("raw").rlike(r"\A\s*\z"))
+
+
+def read_lines(spark: SparkSession, paths: str | Iterable[str], line_sep: str | None = None, closed: bool = False) -> DataFrame:
     """(origin, lineno, raw) of every line in the files, blank ones left out but counted.
 
     Files are read once, in splits by many tasks, and written with the split and the place in it. Line numbers come
     from that copy alone: where Spark cuts files depends on the cluster of the moment, so two scans need not agree.
-    Bytes that are no UTF-8 become U+FFFD.
+    Bytes that are no UTF-8 become U+FFFD. With ``closed``, text at the end of a file that no ``line_sep`` follows is left
+    out: there the bytes of all pieces and one separator for each are more than the file has (of a compressed file this is unknown, so it stays).
     """
     chosen = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     rows = stable_storage(reader.text(chosen).select(
         F.input_file_name().alias("origin"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"), F.make_valid_utf8("value").alias("raw")))
-    before = (Window.partitionBy("origin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        F.monotonically_increasing_id().alias("row_id"), F.make_valid_utf8("value").alias("raw"),
+        *([F.octet_length("value").alias("bytes"), F.col("_metadata.file_size").alias("size")] if closed else [])))
+    of_file = Window.partitionBy("origin")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_end = F.lit(False)
+    if closed:
+        compressed = F.lower("origin").rlike(r"\.(gz|bz2|zst|snappy|lz4|deflate)\z")
+        pieces = F.sum("bytes").over(of_file) + F.sum("n").over(of_file) * len(line_sep.encode())
+        open_end = (pieces > F.col("size")) & ~compressed & (F.col("block") == F.max("block").over(of_file))
     splits = (rows.groupBy("origin", "block")
-              .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-              .withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
-              .select("origin", "block", "first_id", "earlier"))
-    return (rows.filter(~F.col("raw").rlike(r"\A\s*\z"))
-            .join(splits, ["origin", "block"])
+              .agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"),
+                   *([F.sum("bytes").alias("bytes"), F.max("size").alias("size")] if closed else []))
+              .withColumns({"earlier": F.coalesce(F.sum("n").over(before), F.lit(0)),
+                            "open_id": F.when(open_end, F.col("first_id") + F.col("n") - 1)})
+              .select("origin", "block", "first_id", "earlier", "open_id"))
+    return (not_blank(rows).join(splits, ["origin", "block"])
+            .filter(F.col("open_id").isNull() | (F.col("row_id") < F.col("open_id")))
             .select("origin", (F.col("earlier") + F.col("row_id") - F.col("first_id") + 1).alias("lineno"), "raw"))
+
+
+def whole_lines(files: DataFrame, text: str = "text") -> DataFrame:
+    """The same rows from files that are one row each, (origin, text) and others; no copy is needed to number them."""
+    rest = [c for c in files.columns if c not in ("origin", text)]
+    lines = files.select("origin", *rest, F.posexplode(F.split(text, LINE_END, -1)).alias("pos", "raw"))
+    return not_blank(lines).select("origin", (F.col("pos") + 1).cast("bigint").alias("lineno"), "raw", *rest)

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchspan.session import local_table
-from watchspan.sources.lines import iso_time, once, parsed, read_lines
+from watchspan.sources.lines import iso_time, not_blank, once, parsed, read_lines, whole_lines
 
 TEXT_MAP = "map<string,string>"
 # Keys of the flat layout, the first one present counts.
@@ -187,32 +185,19 @@ def xml_chunks(rows: DataFrame) -> DataFrame:
     """Text that ended at ``</Event>``, from the opening of the element on; other text is dropped."""
     start = F.regexp_instr(F.col("raw"), F.lit("<Event[ >]"))
     return once(rows, start=start).filter("start > 0").withColumn(
-        "raw", F.concat(F.substring("raw", F.col("start"), F.length("raw")), F.lit("</Event>"))).drop("start")
+        "raw", F.concat(F.substring("raw", F.col("start"), F.length("raw")), F.lit(CLOSING))).drop("start")
 
 
-TAIL = 4096
+CLOSING = "</Event>"
 
 
-def _looks(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """Of a file: is it XML by its first mark, and does text follow the last closed event?
-
-    A few bytes of both ends, through Hadoop's file systems; a JSON export has no separator to read it by otherwise.
-    """
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    length = system.getFileStatus(place).getLen()
-    stream = system.open(place)
-    try:
-        first = stream.read()
-        while first in (9, 10, 11, 12, 13, 32, 0xEF, 0xBB, 0xBF):
-            first = stream.read()
-        begin = max(0, length - TAIL)
-        stream.seek(begin)
-        tail = bytes(spark._jvm.org.apache.hadoop.thirdparty.com.google.common.io.ByteStreams.toByteArray(stream))
-    finally:
-        stream.close()
-    _, closed, rest = tail.rpartition(b"</Event>")
-    return first == ord("<"), not closed or bool(rest.strip())
+def _xml_files(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those whose first mark is ``<``. Tasks look; the driver sees one character of each file."""
+    mark = F.substring(F.regexp_replace("value", r"\A[\s\x{FEFF}]+", ""), 1, 1)
+    rows = spark.read.text(files).select(F.input_file_name().alias("origin"), mark.alias("mark"),
+                                         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")).filter("mark <> ''")
+    first = rows.groupBy("origin").agg(F.min_by("mark", "place").alias("mark")).filter("mark = '<'")
+    return {r.origin for r in first.select("origin").collect()}
 
 
 def read_windows(spark: SparkSession, paths: str | Iterable[str], host: str = "",
@@ -228,18 +213,20 @@ def read_windows(spark: SparkSession, paths: str | Iterable[str], host: str = ""
     if layout == "json":
         return windows_json_events(read_lines(spark, chosen), host)
     files = spark.read.text(chosen).inputFiles()
-    with ThreadPoolExecutor(32) as pool:
-        looks = dict(zip(files, pool.map(lambda f: _looks(spark, f), files)))
-    xml = [f for f in files if layout == "xml" or looks[f][0]]
+    xml = set(files) if layout == "xml" else _xml_files(spark, files) if files else set()
     parts = []
-    if len(xml) < len(files):
-        parts.append(windows_json_events(read_lines(spark, [f for f in files if f not in set(xml)]), host))
+    if len(xml) < len(files) or not files:
+        parts.append(windows_json_events(read_lines(spark, [f for f in files if f not in xml] or chosen), host))
     if xml:
-        chunks = read_lines(spark, xml, "</Event>")
-        unclosed = [f for f in xml if looks[f][1]]
-        if unclosed:
-            ends = chunks.groupBy("origin").agg(F.max("lineno").alias("lineno"))
-            cut = ends.join(local_table(spark, [(f,) for f in unclosed], "origin string"), "origin", "left_semi")
-            chunks = chunks.join(cut, ["origin", "lineno"], "left_anti")
-        parts.append(windows_xml_events(xml_chunks(chunks), host))
+        parts.append(windows_xml_events(xml_chunks(read_lines(spark, sorted(xml), CLOSING, closed=True)), host))
     return reduce(DataFrame.unionByName, parts)
+
+
+def whole_windows(files: DataFrame, host: str = "") -> DataFrame:
+    """Events of exports that are one row each, (origin, text) and others."""
+    rest = [c for c in files.columns if c not in ("origin", "text")]
+    is_xml = F.ltrim(F.col("text"), F.lit(" \t\n\x0b\f\r\ufeff")).startswith("<")
+    pieces = F.split("text", CLOSING, -1)
+    chunks = files.filter(is_xml).select("origin", *rest, F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("pos", "raw"))
+    chunks = not_blank(chunks).withColumn("lineno", (F.col("pos") + 1).cast("bigint"))
+    return windows_json_events(whole_lines(files.filter(~is_xml)), host).unionByName(windows_xml_events(xml_chunks(chunks), host))
