@@ -43,3 +43,21 @@ def test_top_of_an_alert_is_cut_before_it_is_shuffled(spark):
         F.col("id").alias("at_us"), F.lit("m").alias("member_id"), F.col("id").alias("ts_us"))
     assert plan(first_events(evidence, 1000)).count("Partial") >= 2
     assert sorted(r["pos"] for r in first_events(evidence, 3).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_lookups_read_only_the_days_of_the_evidence(spark, tmp_path):
+    from watchspan.plans.lookup import alert_events, events_of
+    from watchspan.plans.score import shown_evidence
+
+    path, day = str(tmp_path / "events"), 86_400
+    rows = event_table(spark, [event(k * day, "ssh") for k in range(6)])
+    rows.withColumns({"origin": F.lit("f"), "day": F.to_date("ts")}).write.partitionBy("source", "day").parquet(path)
+    events = spark.read.parquet(path)
+    third = events.orderBy("ts").collect()[2]
+    evidence = spark.createDataFrame([("r", "x", third.event_id, 0, third.ts_us, "m", third.ts_us)],
+                                     "rule string, alert_id string, event_id string, step int, at_us long, member_id string, ts_us long")
+    for found in (alert_events("x", evidence, events), events_of(evidence, events), shown_evidence(evidence, events)):
+        assert [r.event_id for r in found.collect()] == [third.event_id]
+        text = plan(found)
+        assert "dynamicpruning" in text, text
+    assert events_of(evidence.select("event_id"), events).count() == 1

@@ -1,7 +1,7 @@
 """Log formats line by line, and files: numbering, telling layouts apart, reading again."""
 
 import json
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 import pytest
 
@@ -174,8 +174,7 @@ def test_a_file_read_twice_is_stored_once(spark, tmp_path):
     def ingest(seconds):
         log.write_text("".join(f"Mar  2 05:06:{s:02d} gate sshd[1]: hello\n" if s < 60 else "noise\n" for s in seconds))
         read = read_logs(spark, "ssh", str(log), year=2031, now=datetime(2031, 4, 1, tzinfo=UTC))
-        told, = ingest_report(read, table.new_events(read)).collect()
-        table.append(read)
+        told, = table.ingest(read).collect()
         return told["stored"], told["duplicates"], told["not_understood"], told["wrong_type"]
 
     assert ingest([1, 2, 2, 99]) == (3, 0, 1, False)
@@ -186,3 +185,25 @@ def test_a_file_read_twice_is_stored_once(spark, tmp_path):
     assert [r["wrong_type"] for r in ingest_report(strange, table.new_events(strange)).collect()] == [True] and rejects(strange).count() == 6
     with pytest.raises(ValueError):
         read_logs(spark, "toaster", str(log))
+
+
+def test_new_files_are_not_compared_with_stored_events(spark, tmp_path):
+    table, line = EventTable(str(tmp_path / "events")), "Mar  {} 05:06:07 gate sshd[1]: hello\n"
+    read = lambda name: read_logs(spark, "ssh", str(tmp_path / name), year=2031, now=datetime(2031, 4, 1, tzinfo=UTC))
+    for day, name in enumerate(("a.log", "b.log", "c.log"), 2):
+        (tmp_path / name).write_text(line.format(day))
+    table.append(read("a.log"))
+    looks_at = lambda df: {str(day) for day in range(2, 5) if any(f"day=2031-03-0{day}" in f for f in df.inputFiles())}
+    assert looks_at(table.new_events(read("b.log"))) == set()
+    table.append(read("b.log"))
+    # A file that was read before is compared with the days it had.
+    plan = table.new_events(read("b.log"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and plan.count("2031-03-03") >= 2 and "2031-03-02" not in plan
+    assert sorted((r.origin[-5:], r.events) for r in table.files(spark).collect()) == [("a.log", 1), ("b.log", 1)]
+
+    # A run that broke off after listing its file: the next one adds the events.
+    table.files(spark).limit(0).unionByName(spark.createDataFrame([((tmp_path / "c.log").as_uri(), date(2031, 3, 4), date(2031, 3, 4), 1)],
+                                                                  table.files(spark).schema)).write.mode("append").parquet(f"{table.path}/_files")
+    table.append(read("c.log"))
+    table.append(read("c.log"))
+    assert table.read(spark).count() == 3

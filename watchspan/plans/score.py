@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchspan.functions.fields import any_case, present
+from watchspan.plans.lookup import on_days_of
 from watchspan.schema import ADDRESS_FIELDS, iso_seconds
 from watchspan.session import stable_storage
 
@@ -26,7 +27,8 @@ class Score:
 
 def shown_evidence(evidence: DataFrame, events: DataFrame) -> DataFrame:
     """What scoring needs of every event behind an alert."""
-    return evidence.select("alert_id", "event_id").join(events.select("event_id", "host", "fields"), "event_id")
+    events = on_days_of(events, evidence).select("event_id", "host", "fields")
+    return evidence.select("alert_id", "event_id").join(events, "event_id")
 
 
 def alert_addresses(shown: DataFrame) -> DataFrame:

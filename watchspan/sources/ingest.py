@@ -56,53 +56,84 @@ def first_of_each(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def unstored(parsed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events that are not in ``stored`` yet.
+def unstored(parsed: DataFrame, stored: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Understood lines that are not in ``stored``.
 
     Only files that were read before can hold stored events. Events of all other files, which is
-    all of them in the usual case, pass without being compared or moved.
+    all of them in the usual case, pass without being compared or moved. ``files`` lists the files that were read, with
+    their days; without it the stored events are asked.
     """
     events = with_event_id(parsed)
-    again = stable_storage(stored.select("origin").distinct().join(parsed.select("origin").distinct(), "origin", "left_semi"))
-    if again.isEmpty():
+    files = days_of_files(stored) if files is None else files
+    again = stable_storage(files.join(parsed.select("origin").distinct(), "origin", "left_semi"))
+    first, last = again.agg(F.min("first_day"), F.max("last_day")).first()
+    if first is None:
         return events
-    ids = stored.join(again, "origin", "left_semi").select("event_id")
+    ids = stored.filter(F.col("day").between(F.lit(first), F.lit(last))).join(again, "origin", "left_semi").select("event_id")
     return (events.join(again, "origin", "left_anti")
             .unionByName(events.join(again, "origin", "left_semi")
                          .join(ids, "event_id", "left_anti").select(*events.columns)))
 
 
+def days_of_files(events: DataFrame) -> DataFrame:
+    return events.groupBy("origin").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("events"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 @dataclasses.dataclass(frozen=True)
 class EventTable:
-    """Parquet files by source and day."""
+    """Parquet files by source and day, and a small table of the log files they came from.
+
+    A file is listed before its events are written. If a run breaks off between the two, the next one finds the file listed,
+    compares its events with the stored ones and adds what is missing.
+    """
 
     path: str
 
+    @property
+    def _listing(self) -> str:
+        return f"{self.path.rstrip('/')}/_files"
+
     def exists(self, spark: SparkSession) -> bool:
-        try:
-            spark.read.parquet(self.path).schema
-        except AnalysisException:
-            return False
-        return True
+        return _exists(spark, self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
+    def files(self, spark: SparkSession) -> DataFrame:
+        """(origin, first_day, last_day, events) of each time a file was read. A table without a listing gets one."""
+        if not _exists(spark, self._listing):
+            days_of_files(self.read(spark)).write.mode("append").parquet(self._listing)
+        return spark.read.parquet(self._listing)
+
     def new_events(self, parsed: DataFrame) -> DataFrame:
         spark = parsed.sparkSession
         if not self.exists(spark):
             return with_event_id(parsed)
-        return unstored(parsed, self.read(spark))
+        return unstored(parsed, self.read(spark), self.files(spark))
 
     def append(self, parsed: DataFrame, gather: bool = False) -> None:
-        """Store new events, sorted by time inside each file.
+        self.ingest(parsed, gather)
+
+    def ingest(self, parsed: DataFrame, gather: bool = False) -> DataFrame:
+        """Store new events, sorted by time inside each file, and report on every file.
 
-        A split of a log covers few days, so every task writes a few files of good size and nothing
-        is moved. ``gather`` brings rows of a day together first; use it for many tiny inputs.
+        The batch is parsed once and kept for all that looks at it. A split of a log covers few days, so every task writes a
+        few files of good size and nothing is moved. ``gather`` brings rows of a day together first; use it for many tiny inputs.
         """
-        new = self.new_events(parsed)
+        parsed = stable_storage(parsed)
+        new = stable_storage(self.new_events(parsed))
+        days_of_files(with_event_id(parsed)).write.mode("append").parquet(self._listing)
         (new.hint("rebalance", "source", "day") if gather else new).sortWithinPartitions(
             "source", "day", "ts_us").write.mode("append").partitionBy("source", "day").parquet(self.path)
+        return ingest_report(parsed, new)
 
 
 def ingest_report(parsed: DataFrame, new: DataFrame) -> DataFrame:
