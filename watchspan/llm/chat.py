@@ -28,6 +28,9 @@ _AFTER_FIRST = r"(\|\w+\|>|/?s>|<SYS>>|</SYS>>|/?INST\])"
 _MARK = r"([<\[])(\\*+)" + _AFTER_FIRST
 _ESCAPED = r"([<\[])\\(\\*+)" + _AFTER_FIRST
 
+#: Stands before 0 where a text has this character itself, before 1 and 2 around a placeholder.
+HELD = "\x01"
+
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
@@ -42,7 +45,10 @@ def unescape(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Visitor:
-    """How each kind of part is rendered, and how many tokens its placeholder stands for."""
+    """How each kind of part is rendered, and how many tokens its placeholder stands for.
+
+    The texts of a turn are escaped together, since a mark may lie across parts; ``HELD`` keeps placeholders apart meanwhile.
+    """
 
     patch: int = 14
     audio_rate: float = 25.0
@@ -69,10 +75,18 @@ class Visitor:
                 shown = F.when(kind == name, F.lit(f"<|{name}|>")).otherwise(shown)
             return F.struct(position.alias("part"), kind.alias("kind"), part.ref.alias("ref"),
                             count.cast("long").alias("tokens"),
-                            F.when(kind == "text", escape(F.coalesce(part.text, F.lit("")))).otherwise(shown).alias("shown"))
+                            F.when(kind == "text", F.replace(F.coalesce(part.text, F.lit("")), F.lit(HELD), F.lit(f"{HELD}0")))
+                            .otherwise(F.concat(F.lit(f"{HELD}1"), shown, F.lit(f"{HELD}2"))).alias("shown"))
 
         return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), one)
 
+    @staticmethod
+    def body(seen: Column) -> Column:
+        """The escaped texts and bare placeholders of a turn."""
+        whole = escape(F.array_join(seen["shown"], ""))
+        placed = F.regexp_replace(whole, rf"{HELD}1<\\(\|\w+\|>){HELD}2", "<$1")
+        return F.replace(placed, F.lit(f"{HELD}0"), F.lit(HELD))
+
 
 def text_part(text: Column) -> Column:
     return F.array(F.struct(
@@ -93,7 +107,7 @@ def format_chat(turns: DataFrame, visitor: Visitor | None = None, loss_role: str
     pieces = visited.select(
         "conv_id", "turn", "role", "seen",
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)).alias("head"),
-        F.array_join(F.col("seen.shown"), "").alias("body"))
+        Visitor.body(F.col("seen")).alias("body"))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.char_length("head") + F.char_length("body") + len(END)
     placed = pieces.select(
