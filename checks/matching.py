@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.tables import address, as_sshd, events, table, text_id, utc
 from watchspan.functions.network import in_network, ipv4_value
 from watchspan.operators.matching import match_events
+from watchspan.operators.networks import with_network
 from watchspan.rules import check_rules, rules_from_text
 
 QUERIES: dict = {}
@@ -192,6 +193,22 @@ def match_networks(spark, sf_dir):
         in_network(either, "0.0.0.0/0").alias("mixed"))
 
 
+@register("match_network_list", """
+WITH nets AS (
+  SELECT 10 * 16777216 + (c_custkey % 250) * 65536 + (c_custkey // 250 % 250) * 256 + c_nationkey AS value, 16 + c_custkey % 17 AS bits FROM customer),
+keyed AS (SELECT DISTINCT bits, value >> (32 - bits) AS prefix FROM nets),
+asked AS (SELECT event_id AS id, 10 * 16777216 + (event_id % 250) * 65536 + (user_id % 250) * 256 + event_id % 25 AS value FROM events)
+SELECT id, max(bits)::BIGINT AS bits FROM asked LEFT JOIN keyed ON value >> (32 - bits) = prefix GROUP BY id""")
+def match_network_list(spark, sf_dir):
+    """The longest of as many networks as there are customers for the address of every event."""
+    key = F.col("c_custkey")
+    address = F.concat_ws(".", F.lit("10"), key % 250, F.floor(key / 250) % 250, F.col("c_nationkey"))
+    nets = table(spark, sf_dir, "customer").select(F.concat(address, F.lit("/"), 16 + key % 17).alias("network"))
+    asked = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat_ws(
+        ".", F.lit("10"), F.col("event_id") % 250, F.col("user_id") % 250, F.col("event_id") % 25).alias("address"))
+    return with_network(asked, nets).select("id", F.substring_index("network", "/", -1).cast("bigint").alias("bits"))
+
+
 @register("match_rule_networks", """
 SELECT 'inside' AS rule, event_id AS id FROM events WHERE user_id < 250 AND user_id % 250 BETWEEN 32 AND 63
 UNION ALL SELECT 'outside', event_id FROM events WHERE NOT (user_id < 250 AND user_id % 250 BETWEEN 32 AND 63)""")
