@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from llm_helpers import documents, empty, odd_texts, prose
 
-from watchspan.llm import suffixes
+from watchspan.llm import arrays, suffixes
 
 
 def plain(texts, length=50):
@@ -84,7 +84,7 @@ def test_keys_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(suffixes, "SLICE", 64)
     assert (suffixes.keys_at(data, at, 50) == whole).all() and len(set(whole.tolist())) == len(at)
     keys = np.unique(whole)
-    assert (suffixes.unpacked(suffixes.packed(keys), len(keys)) == keys).all()
+    assert (arrays.unpacked(arrays.packed(keys), len(keys)) == keys).all()
 
 
 def test_blocks_are_not_shuffled_again(spark):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchspan.llm.arrays import flat
+from watchspan.llm.arrays import flat, packed, unpacked
 from watchspan.llm.common import keep, shared_folder, table, text_of
 from watchspan.session import shuffles_dropped
 
@@ -174,20 +174,6 @@ class Keys:
         return out
 
 
-CODEC = "zstd"
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, their bytes by place, so that the zero ones on top cost nothing."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return pa.Codec(CODEC, compression_level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
-
-
-def unpacked(blob: bytes, count: int) -> np.ndarray:
-    planes = pa.Codec(CODEC).decompress(blob, decompressed_size=8 * count, asbytes=True)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 BLOCKS = "part long, block long, lo long, hi long, ids binary, ends binary, text binary"
 
 
