@@ -67,3 +67,18 @@ def test_redaction(spark):
                                   (4, "token=0123456789abcdef0123 😀", 28)], "doc_id long, text string, n_chars long")
     got = sorted(map(tuple, S.redact(S.scan(docs)).collect()), key=str)
     assert got == sorted([(1, "a [secret] b [secret]!", 22), (1, "a [secret] b [secret]!", 22), (2, None, 0), (3, "clean", 5), (4, "[secret] 😀", 10)], key=str)
+
+
+def test_texts_with_very_many_matches(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 3)
+    texts = {1: "é0123456789abcdef " * 200, 2: "\ufeffsecret=" + "a1" * 8 + " token=" + "0" * 16 + "\ufeff" + " password: AKIA" + "B" * 20, 3: "AKIA" + "0" * 20 + "😀\n" * 3}
+    docs = S.scan(documents(spark, texts))
+    got = {r.doc_id: r for r in docs.collect()}
+    redacted = {r.doc_id: r.text for r in S.redact(docs).select("doc_id", "text").collect()}
+    for k, text in texts.items():
+        spans = expected(text)
+        assert [tuple(s) for s in got[k].spans] == spans
+        hidden = {i for start, _, end, _ in spans for i in range(start, end)}
+        edges = {start for start, *_ in spans if not any(a < start < b for a, _, b, _ in spans)}
+        first = {i for i in hidden if i - 1 not in hidden or (i in edges and all(not (a < i < b) for a, _, b, _ in spans))}
+        assert redacted[k] == "".join("[secret]" if i in first else "" if i in hidden else c for i, c in enumerate(text))

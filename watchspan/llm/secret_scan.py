@@ -16,6 +16,7 @@ hashes of different rows only cost a verification; an empty table gives none; ``
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -52,6 +53,8 @@ RULES = BASE + MORE
 
 Query = bool | str | tuple  # True, a trigram, or ("and" | "or", queries)
 WIDEST = 64
+#: Numbers of a text's matches are summed in runs of so many, as every step copies its list.
+RUN = 256
 
 
 def _join(kind: str, parts: list[Query]) -> Query:
@@ -180,28 +183,62 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return held.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Leftmost non-overlapping matches as (start, place of the kind, end, kind), from the texts between and in them."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``join`` makes of each number of an array and all before it; lists grow inside blocks of ``RUN`` only."""
+    def within(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<bigint>"), lambda done, x: F.array_append(
+            done, F.coalesce(join(F.get(done, F.size(done) - 1), x), x)))
+
+    def onward(parts: Column) -> Column:
+        lasts = F.transform(parts, lambda p: F.get(p, F.size(p) - 1))
+        return bound(running(lasts, join, levels - 1), lambda sums: F.flatten(F.transform(
+            parts, lambda part, i: F.transform(part, lambda x: F.coalesce(join(F.get(sums, i - 1), x), x)))))
+
+    if not levels:
+        return within(values)
+    return bound(values, lambda v: bound(F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / RUN).cast("int")), lambda b: within(F.slice(v, b * RUN + 1, F.lit(RUN)))), onward))
+
+
+def _steps(text: Column, rule: Rule, place: int) -> Column:
+    """For each leftmost match of a rule the characters before it, in it and in its group, and at last those after all matches."""
     between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    parts = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(whole)), F.char_length).alias("gap"),
-                         F.transform(whole, F.char_length).alias("size"), F.transform(value, F.char_length).alias("chars"))
-    empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string,chars:int>>")
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda a, p: F.struct(
-        (a.at + p.gap + p.size).alias("at"), F.array_append(a.out, F.struct(
-            (a.at + p.gap).alias("start"), F.lit(order).alias("place"), (a.at + p.gap + p.size).alias("end"),
-            F.lit(rule.kind).alias("kind"), p.chars.alias("chars"))).alias("out"))).out
-    return F.transform(F.filter(walked, lambda s: s.chars >= rule.least), lambda s: F.struct(
-        s.start.alias("start"), s.place.alias("place"), s.end.alias("end"), s.kind.alias("kind")))
+    found = [("gap", between), ("size", whole)]
+    if rule.group:
+        found.append(("chars", F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))))
+    return F.transform(F.arrays_zip(*[F.transform(x, F.char_length).alias(name) for name, x in found]), lambda p: F.struct(
+        F.lit(place).alias("place"), p.gap.alias("gap"), F.coalesce(p["size"], F.lit(0)).alias("size"),
+        F.coalesce(p["chars" if rule.group else "size"], F.lit(-1)).alias("chars")))
 
 
 def _found(rules, which: Column | None) -> Column:
-    """Spans of the given rules (with ``which``: of those named in it), by start and kind."""
-    none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
+    """Spans of the given rules (with ``which``: of those named in it), by start and kind.
+
+    The steps of all rules stand in one array, and those of each rule add up to the length of the text.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = [F.when(F.array_contains(which, r.kind) & F.regexp_like(text, F.lit(r.pattern)) if which is not None else F.regexp_like(text, F.lit(r.pattern)),
-                    _spans(text, r, RULES.index(r))).otherwise(none) for r in rules]
-    return F.sort_array(F.flatten(F.array(*parts)))
+    kinds, least, places = ([f(r) for r in rules] for f in (lambda r: r.kind, lambda r: r.least, RULES.index))
+    parts = []
+    for k, r in enumerate(rules):
+        may = F.regexp_like(text, F.lit(r.pattern))
+        absent = F.array(F.struct(F.lit(k).alias("place"), F.char_length(text).alias("gap"), F.lit(0).alias("size"), F.lit(-1).alias("chars")))
+        parts.append(F.when(F.array_contains(which, r.kind) & may if which is not None else may, _steps(text, r, k)).otherwise(absent))
+
+    def spans(steps: Column, length: Column) -> Column:
+        ends = running(F.transform(steps, lambda p: (p.gap + p["size"]).cast("long")), lambda a, b: a + b)
+        long_enough = F.filter(F.arrays_zip(steps.alias("step"), ends.alias("end")),
+                               lambda p: p.step.chars >= F.get(F.array(*map(F.lit, least)), p.step.place))
+        return F.transform(long_enough, lambda p: bound(
+            (p.end - p.step.place * length).cast("int"), lambda end: F.struct(
+                (end - p.step["size"]).alias("start"), F.get(F.array(*map(F.lit, places)), p.step.place).alias("place"), end.alias("end"),
+                F.get(F.array(*map(F.lit, kinds)), p.step.place).alias("kind"))))
+
+    return F.sort_array(bound(F.char_length(text), lambda length: bound(F.flatten(F.array(*parts)), lambda steps: spans(steps, length))))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -225,19 +262,32 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return seen.unionByName(row.filter(~may).select("_row.*", _found(always, None).alias("spans")))
 
 
+def _stretches(spans: Column) -> Column:
+    """(start, end) of the stretches that spans, in order of their starts, cover together."""
+    def heads(ends: Column) -> Column:
+        first = F.filter(F.transform(spans, lambda s, i: F.struct(s.start.alias("start"), i.alias("at"))),
+                         lambda s: (s["at"] == 0) | (s.start >= F.get(ends, s["at"] - 1)))
+        return bound(first, lambda own: F.transform(own, lambda s, i: F.struct(
+            s.start.alias("start"), F.get(ends, F.coalesce(F.get(own, i + 1)["at"], F.size(ends)) - 1).cast("int").alias("end"))))
+
+    return bound(running(F.transform(spans, lambda s: s.end.cast("long")), lambda a, b: F.greatest(a, b)), heads)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """Every stretch of text under a span becomes ``[secret]``; ``n_chars``, where there is one, follows the text."""
-    stretch = F.aggregate(F.slice("spans", F.lit(2), F.greatest(F.size("spans") - 1, F.lit(0))), F.array(F.get("spans", F.lit(0))), lambda done, s: F.when(
-        s.start < F.element_at(done, -1).end,
-        F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), F.struct(
-            F.element_at(done, -1).start.alias("start"), s.place.alias("place"), F.greatest(F.element_at(done, -1).end, s.end).alias("end"), s.kind.alias("kind"))))
-        .otherwise(F.array_append(done, s)))
-    marked = docs.select("*", F.when(F.size("spans") > 0, stretch).alias("_cut"))
-    piece = F.transform("_cut", lambda s, i: F.concat(
-        F.substring(F.col("text"), F.coalesce(F.get(F.col("_cut"), i - 1).end, F.lit(0)) + 1,
-                    s.start - F.coalesce(F.get(F.col("_cut"), i - 1).end, F.lit(0))), F.lit("[secret]")))
-    tail = F.substring(F.col("text"), F.element_at("_cut", -1).end + 1, F.char_length("text"))
-    out = marked.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), tail)))
+    """Every stretch of text under a span becomes ``[secret]``; ``n_chars``, where there is one, follows the text.
+
+    Pieces are cut from four bytes per code point, so that none is looked for from the beginning of its text.
+    """
+    marked = docs.select("*", F.when(F.size("spans") > 0, _stretches(F.col("spans"))).alias("_cut"))
+    piece = lambda wide, start, stop: F.decode(F.concat(
+        F.lit(bytearray(b"\0\0\xfe\xff")), F.substring(wide, 4 * start + 1, 4 * (stop - start))), "UTF-32")
+    rest = F.array(F.struct(F.char_length("text").alias("start"), F.lit(None).cast("int").alias("end")))
+
+    def pieces(wide: Column) -> Column:
+        return bound(F.concat("_cut", rest), lambda cut: F.array_join(F.transform(cut, lambda s, i: piece(
+            wide, F.coalesce(F.get(cut, i - 1).end, F.lit(0)), s.start)), "[secret]"))
+
+    out = marked.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(bound(F.encode("text", "UTF-32"), pieces)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.drop("_cut", "spans")
