@@ -6,6 +6,7 @@ from llm_helpers import documents, empty, odd_texts, prose
 from tokenizers import Tokenizer
 
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 from watchspan.llm import idfile, packing
 from watchspan.llm.arrays import flat
 from watchspan.llm.tokens import Encoder
@@ -42,6 +43,36 @@ def test_code_lengths_are_optimal_and_limited():
     assert idfile.code_lengths(np.array([0, 5])).tolist() == [0, 1] and idfile.code_lengths(np.zeros(3, int)).tolist() == [0, 0, 0]
 
 
+def test_more_ids_than_sixteen_bits_hold():
+    rng = np.random.default_rng(5)
+    counts = np.concatenate([rng.integers(1, 9, 70_000), [0, 10**7]])
+    lengths = idfile.code_lengths(counts)
+    assert lengths.max() > 16 and sum(2.0 ** -int(x) for x in lengths if x) == 1.0
+    ids = np.concatenate([rng.permutation(70_000), np.full(300, 70_001)])
+    out, begin, inside = idfile.encode_bits(ids, np.array([0, len(ids)]), lengths, idfile.canonical(lengths))
+    starts = inside[::256]
+    sizes = np.minimum(256, len(ids) - 256 * np.arange(len(starts)))
+    assert idfile.decode_blocks(out[:begin[-1]], starts, sizes, *idfile.decoding_table(lengths)).tolist() == ids.tolist()
+    with pytest.raises(ValueError):
+        idfile.code_lengths(counts, 16)
+
+
+def test_files_ascend_and_no_id_fills_a_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "PART_TOKENS", 400)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7, "the same words again")] * 300 + [(7, prose(k, 5)) for k in range(60)] + [(k, prose(k, 9)) for k in range(-40, 60)]
+    idfile.write_ids(documents(spark, rows).repartition(6), path, 2, f"{tmp_path}/files", f"{tmp_path}/scratch")
+    files = sorted((tmp_path / "files" / "docs").glob("part-*.parquet"))
+    read = [pa.parquet.read_table(f, columns=["part", "before", "doc_id", "n_tokens"]).to_pylist() for f in files]
+    order = [r["doc_id"] for own in read for r in own]
+    assert order == sorted(k for k, _ in rows)
+    assert [r["part"] for own in read for r in own] == sorted(r["part"] for own in read for r in own)
+    assert max(sum(r["n_tokens"] for r in own) for own in read) < 1600 and sum(any(r["doc_id"] == 7 for r in own) for own in read) > 2
+    got = idfile.with_starts(idfile.read_ids(spark, f"{tmp_path}/files")).orderBy("start").collect()
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert [r.doc_id for r in got] == order
+
+
 def huffman_cost(counts):
     import heapq
 

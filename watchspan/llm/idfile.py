@@ -1,17 +1,18 @@
 """Token ids in files: canonical, length-limited Huffman codes.
 
 Pass one encodes texts into ids, keeps them as 16- or 32-bit numbers and counts each id over all documents. From the
-counts the driver builds the code: package-merge gives the best lengths of at most ``LONGEST`` bits, and lengths alone
-fix a canonical code. Pass two writes each document as a bit stream of its own with the bit offset of every ``BLOCK``-th
-id, in files whose parts and rows ascend by ``doc_id``. Reading takes a table of 2^LONGEST entries that gives id and
-length for the next bits; all blocks of a batch are decoded side by side, as each starts at its checkpoint.
-
-Layout of a path: ``code`` (one row: length of the code of each id, bytes) and ``docs`` (part, doc_id, n_tokens, checkpoints
-as little-endian 32-bit offsets, bits).
-
-Defined cases: a null or empty text is the end id alone; documents of one ``doc_id`` follow each other by their bits, a
-null id comes first; repeated rows are written each for itself; without rows there is no code and reading gives none; an
-id that occurs alone gets a code of one bit; other columns are ignored.
+counts the driver builds the code: package-merge gives the best lengths of at most ``longest`` bits, and lengths alone
+fix a canonical code. Pass two deals the documents by ranges of ``doc_id`` and writes each as a bit stream of its own with
+the bit offset of every ``BLOCK``-th id; files ascend, and rows in them. Reading takes a table of 2^(longest length) entries
+that gives id and length for the next bits; all blocks of a batch are decoded side by side, as each starts at its checkpoint.
+
+Layout of a path: ``code`` (one row: length of the code of each id, bytes) and ``docs`` (part, before: ids of the part's
+earlier documents, doc_id, n_tokens, checkpoints as little-endian 32-bit offsets, bits). Parts are numbered as the files are.
+
+Defined cases: a null or empty text is the end id alone; documents of one ``doc_id`` follow each other by a hash of their ids
+and, if equal, in any order, over several parts if there are many; a null id comes first; repeated rows are written each for
+itself; without rows there is no code and reading gives none; an id that occurs alone gets a code of one bit; any number of
+different ids fits (codes grow beyond ``LONGEST`` bits if they are too many for it); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,15 @@ from watchspan.llm.tokens import encoder_of
 LONGEST, BLOCK, PART_TOKENS = 16, 256, 1 << 24
 
 
-def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Package-merge: the length of each symbol's code, 0 where it does not occur."""
+def code_lengths(counts: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Package-merge: the length of each symbol's code, 0 where it does not occur.
+
+    ``longest`` is ``LONGEST``, or one bit more than codes of one length would need if that is more.
+    """
     used = np.flatnonzero(counts)
+    longest = longest or max(LONGEST, int(len(used) - 1).bit_length() + 1 if len(used) > 1 << LONGEST else 0)
+    if len(used) > 1 << longest:
+        raise ValueError(f"{len(used)} ids cannot have codes of at most {longest} bits")
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         lengths[used] = 1
@@ -70,11 +78,11 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the next ``LONGEST`` bits: the id, and how many of them are its code."""
-    codes, used = canonical(lengths), np.flatnonzero(lengths)
+    """For the next bits, as many as the longest code has: the id, and how many of them are its code."""
+    codes, used, longest = canonical(lengths), np.flatnonzero(lengths), int(lengths.max(initial=0))
     size = lengths[used].astype(np.int64)
-    first, span = codes[used].astype(np.int64) << (LONGEST - size), 1 << (LONGEST - size)
-    ids, bits = np.zeros(1 << LONGEST, np.uint32), np.ones(1 << LONGEST, np.uint8)
+    first, span = codes[used].astype(np.int64) << (longest - size), 1 << (longest - size)
+    ids, bits = np.zeros(1 << longest, np.uint32), np.ones(1 << longest, np.uint8)
     place = np.repeat(first - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
     ids[place], bits[place] = np.repeat(used, span), np.repeat(size, span)
     return ids, bits
@@ -108,13 +116,13 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, tabl
     at, left = starts[order].copy(), counts[order]
     target = (np.cumsum(counts) - counts)[order]
     out = np.zeros(int(counts.sum()), np.uint32)
-    active = len(order)
+    active, longest = len(order), len(table_ids).bit_length() - 1
     for step in range(int(left[0]) if active else 0):
         active = int(np.searchsorted(-left[:active], -step, "left"))
         now = at[:active]
         byte = now >> 3
-        window = (data[byte].astype(np.uint32) << 16) | (data[byte + 1].astype(np.uint32) << 8) | data[byte + 2]
-        entry = (window >> (8 - (now & 7)).astype(np.uint32)) & 0xFFFF
+        window = (data[byte].astype(np.uint32) << 24) | (data[byte + 1].astype(np.uint32) << 16) | (data[byte + 2].astype(np.uint32) << 8) | data[byte + 3]
+        entry = (window >> (32 - longest - (now & 7)).astype(np.uint32)) & np.uint32((1 << longest) - 1)
         out[target[:active] + step] = table_ids[entry]
         now += table_bits[entry]
     return out
@@ -169,9 +177,13 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, scratch:
     rows = kept.filter("ids is not null").select("doc_id", "n_tokens", "ids")
     total = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
     parts = max(1, -(-total // PART_TOKENS))
-    edges = np.array(sorted(set(rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first().q or [])), np.int64) if parts > 1 else np.zeros(0, np.int64)
+    # Equal rows differ by their place among the rows kept, so that no range of keys has to be in one part.
+    keys = ["doc_id", "hash", "place"]
+    dealt = (rows.withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+             .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "ids"))
 
     def run(batches):
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 own = batch.slice(k, 1024)
@@ -184,12 +196,13 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, scratch:
                 marks = np.repeat(first[:-1], blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
                 ends = np.concatenate([[0], np.cumsum(blocks)]) * 4
                 yield pa.record_batch([
-                    pa.array(np.searchsorted(edges, own.column("doc_id").fill_null(-1 << 63).to_numpy(zero_copy_only=False), "right")),
-                    own.column("doc_id"), own.column("n_tokens"), _binary(inside[marks].astype("<u4").view(np.uint8), ends),
-                    _binary(out[:begin[-1]], begin)], names=["part", "doc_id", "n_tokens", "checkpoints", "bits"])
+                    pa.array(np.full(len(count), part)), pa.array(before + first[:-1]), own.column("doc_id"), own.column("n_tokens"),
+                    _binary(inside[marks].astype("<u4").view(np.uint8), ends), _binary(out[:begin[-1]], begin)],
+                    names=["part", "before", "doc_id", "n_tokens", "checkpoints", "bits"])
+                before += int(first[-1])
 
-    coded = rows.mapInArrow(run, "part long, doc_id long, n_tokens long, checkpoints binary, bits binary")
-    coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "bits").write.option("compression", "none").parquet(f"{path}/docs")
+    coded = dealt.mapInArrow(run, "part long, before long, doc_id long, n_tokens long, checkpoints binary, bits binary")
+    coded.write.option("compression", "none").parquet(f"{path}/docs")
 
 
 def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -198,7 +211,7 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(part, doc_id, n_tokens, bits, ids): ``ids`` as little-endian 32-bit numbers, decoded from the files."""
+    """(part, before, doc_id, n_tokens, ids): ``ids`` as little-endian 32-bit numbers, decoded from the files."""
     code = spark.read.parquet(f"{path}/code").first()
     table_ids, table_bits = decoding_table(np.frombuffer(bytes(code.lengths), np.uint8))
 
@@ -214,24 +227,22 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 sizes = np.minimum(BLOCK, np.repeat(count, blocks) - BLOCK * inner)
                 ids = decode_blocks(data, np.repeat(begin[:-1] * 8, blocks) + marks.view("<u4"), sizes, table_ids, table_bits)
                 first = np.concatenate([[0], np.cumsum(count)])
-                yield pa.record_batch([own.column("part"), own.column("doc_id"), own.column("n_tokens"), own.column("order"),
-                                       _binary(ids.astype("<u4").view(np.uint8), first * 4)], names=["part", "doc_id", "n_tokens", "order", "ids"])
+                yield pa.record_batch([own.column("part"), own.column("before"), own.column("doc_id"), own.column("n_tokens"),
+                                       _binary(ids.astype("<u4").view(np.uint8), first * 4)], names=["part", "before", "doc_id", "n_tokens", "ids"])
 
-    docs = spark.read.parquet(f"{path}/docs").select("part", "doc_id", "n_tokens", F.substring("bits", 1, 64).alias("order"), "checkpoints", "bits")
-    return docs.mapInArrow(run, "part long, doc_id long, n_tokens long, order binary, ids binary")
+    docs = spark.read.parquet(f"{path}/docs").select("part", "before", "doc_id", "n_tokens", "checkpoints", "bits")
+    return docs.mapInArrow(run, "part long, before long, doc_id long, n_tokens long, ids binary")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all documents before. Parts are summed first, so only their totals meet in one task."""
-    inside = Window.partitionBy("part").orderBy("doc_id", "order").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
-    placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return placed.join(totals, "part").withColumn("start", F.col("inner") + F.col("offset")).drop("inner", "offset", "order")
+    """Adds ``start``: ids of all documents before. Only the parts' totals meet in one task."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("offset"))
+    return rows.join(totals, "part").withColumn("start", F.col("before") + F.col("offset")).drop("before", "offset")
 
 
 def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents", ["doc_id", "text"]), public_tokenizers.path("byte_bpe_50k.json"), 2, f"{folder}/files", f"{folder}/scratch")
-    digests = read_ids(spark, f"{folder}/files").select("part", "doc_id", "n_tokens", "order", F.crc32("ids").alias("ids_crc32"))
+    digests = read_ids(spark, f"{folder}/files").select("part", "before", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return with_starts(keep(digests)).select("doc_id", "start", "n_tokens", "ids_crc32")
