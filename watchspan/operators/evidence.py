@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchspan.operators import slices
 from watchspan.operators.correlation import Correlation, members, rule_list
+from watchspan.session import stable_storage
 
 # Members of one alert are numbered in this many parts first, so that no task sees all of a huge one.
 PARTS = 64
@@ -86,9 +87,20 @@ def first_events(evidence: DataFrame, limit: int) -> DataFrame:
 
 
 def numbered(evidence: DataFrame) -> DataFrame:
-    """All events per alert, numbered from 0 as ``pos``. For one alert at a time: its events meet in one task."""
-    in_alert = Window.partitionBy("alert_id").orderBy(*ORDER, "event_id")
-    return evidence.withColumn("pos", F.row_number().over(in_alert) - 1)
+    """All events per alert, numbered from 0 as ``pos``, however many an alert has.
+
+    Rows are dealt by ranges of their order, so a huge alert spreads over as many tasks as others of its size do together. Inside a
+    range places follow from the sort; what an alert has in earlier ranges is added from one row per alert and range.
+    """
+    order = ["alert_id", *ORDER, "event_id"]
+    placed = stable_storage(evidence.repartitionByRange(*order).sortWithinPartitions(*order)
+                            .withColumn("place", F.monotonically_increasing_id())
+                            .withColumn("range", F.spark_partition_id()))
+    earlier = Window.partitionBy("alert_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (placed.groupBy("alert_id", "range").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("begin"))
+              .select("alert_id", "range", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("begin")).alias("shift")))
+    return (placed.join(ranges, ["alert_id", "range"]).withColumn("pos", F.col("place") + F.col("shift"))
+            .select(*evidence.columns, "pos"))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame | None:
