@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.tables import address, as_sshd, events, table, text_id, utc
@@ -179,6 +179,12 @@ def match_networks_in_texts(spark, sf_dir):
                         in_network(F.col("address"), "172.9.9.9/8").alias("net_172")).filter("value is not null")
 
 
+def valid_address(user: Column) -> Column:
+    """An IPv4 address per user that stays one for any number of users; the first 64,000 have the same as in ``address``."""
+    octets = [10 + F.floor(user / 16_384_000), F.floor(user / 64_000) % 256, F.floor(user / 250) % 256, user % 250]
+    return F.concat_ws(".", *[octet.cast("string") for octet in octets])
+
+
 @register("match_networks", f"""
 SELECT event_id AS id, user_id < 250 AND user_id % 250 BETWEEN 64 AND 127 AS v4, event_id BETWEEN 256 AND 511 AS v6,
        user_id % 2 = 0 AS mixed FROM events""")
@@ -186,9 +192,10 @@ def match_networks(spark, sf_dir):
     """IPv4 and IPv6 networks on addresses made of user and event numbers."""
     v6 = F.concat(F.lit("2001:DB8::"), F.lower(F.hex(F.floor(F.col("event_id") / 65536))), F.lit(":"),
                   F.hex(F.col("event_id") % 65536))
-    either = F.when(F.col("user_id") % 2 == 0, address(F.col("user_id"))).otherwise(v6)
+    v4 = valid_address(F.col("user_id"))
+    either = F.when(F.col("user_id") % 2 == 0, v4).otherwise(v6)
     return events(spark, sf_dir).select(
-        F.col("event_id").alias("id"), in_network(address(F.col("user_id")), "10.0.0.64/26").alias("v4"),
+        F.col("event_id").alias("id"), in_network(v4, "10.0.0.64/26").alias("v4"),
         in_network(v6, "2001:db8::1ff/120").alias("v6"),
         in_network(either, "0.0.0.0/0").alias("mixed"))
 
