@@ -4,10 +4,14 @@ Shingles are five words in a row (lower-cased A-Z, parted by ASCII white space)
 one shingle. Texts with equal sets are one node. Two sets of a and b shingles at 0.8 or more differ in at most (a + b) / 9,
 so in any order of all shingles they share one in the first fifth of both; each set is filed under those. A pair that meets
 in a bucket is looked at if its places there leave at most (a + b) / 9 for what differs before, and is then verified on the
-whole sets, unless a sketch of parity bits shows already that they differ in more. Shingles found often in a sample come last in the order, which keeps common passages out of the buckets; the
-order does not change what is found. First the neighbours by size in each bucket are looked at: of these, each set's nearest partner by the sketch is
-verified, then what lies in different components still; in the end all pairs of a bucket that these links left in different
-components. So a group of copies is not compared all with all, and no pair is compared twice.
+whole sets, unless a sketch of parity bits shows already that they differ in more. Shingles found often in a sample come
+last in the order, which keeps common passages out of the buckets; the order does not change what is found.
+
+SimHash comes first: sets whose fingerprints link (``simhash.forest``) are verified and joined. What fingerprints miss (many
+copies at 0.8 differ in more than three bits) is looked for in the buckets, there only between different components. An entry
+hands on its partner with the fewest differing bits of the sketch: first of its neighbours by size, then, twice, of the whole
+bucket, and what these links left apart is at last compared pair by pair. So a group of copies sends on rows in proportion to
+its entries, and no pair is verified twice.
 
 Defined cases: texts without a word have the same empty set; repeated rows each get a row; a null ``doc_id`` is no candidate
 for ``component_id`` (null only if nobody else is in the component); an empty table gives none; other columns are ignored.
@@ -28,15 +32,15 @@ from pyspark.sql import functions as F
 from watchspan.llm.arrays import SPACES, flat, hashed_words, mix, packed, pieces, unpacked
 from watchspan.llm.common import keep
 from watchspan.llm.links import components
-from watchspan.llm.simhash import group_ids
+from watchspan.llm.simhash import forest, group_ids, simhash_of_sets
 
 WORDS = 5
 #: Texts looked at for common shingles, from how many of them on a shingle is common, and how many are listed at most.
 SAMPLE, OFTEN, MOST = 10_000, 8, 400_000
 #: Neighbours by size that are verified first, and pairs handed on at a time.
 NEAREST, BLOCK = 3, 1 << 18
-#: Bits of the sketch that rules pairs out before their sets are compared.
-PARITY = 1024
+#: Bits of the sketch that rules pairs out before their sets are compared, at most and at least.
+PARITY, FEWEST = 1024, 128
 ENTRY = "bucket long, node long, size int, place int"
 
 
@@ -126,77 +130,109 @@ def whole_buckets(entries: DataFrame, columns: list[str], make: Callable, out: s
     return entries.select(*columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
 
 
-def candidates(entries: DataFrame, nearest: int | None) -> DataFrame:
-    """(u, v), u < v: pairs of a bucket with different ``root`` that may be similar; ``nearest``: of so many neighbours by size.
+def candidates(entries: DataFrame, nearest: int | None, best: bool) -> DataFrame:
+    """(u, v, differ), u < v: pairs of a bucket with different ``root`` whose bits do not rule out that they are similar.
 
-    Where entries have ``bits``, these rule pairs out before they leave the bucket.
+    ``nearest``: only so many neighbours by size; ``best``: for each entry the partner with the fewest differing bits.
     """
-    columns = ["bucket", "node", "size", "place", "root", *(c for c in entries.columns if c == "bits")]
-
-    def make(bucket, node, size, place, root, bits=None):
+    def make(bucket, node, size, place, root, bits):
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(bucket))))
+        mixed = np.logical_or.reduceat(root != root[first][number], first)[number]
+        bucket, node, size, place, root, bits = (c[mixed] for c in (bucket, node, size, place, root, bits))
         order = np.lexsort((node, size, bucket))
-        bucket, node, size, place, root = (c[order] for c in (bucket, node, size, place, root))
-        if bits is not None:
-            bits = np.frombuffer(b"".join(bits[order].tolist()), np.uint64).reshape(len(order), -1)
+        bucket, node, size, place, root, bits = (c[order] for c in (bucket, node, size, place, root, bits))
+        sketch, width = unfolded(bits)
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        least, partner = np.full(len(node), PARITY + 1, np.int64), np.zeros(len(node), np.int64)
         here, k, waiting, held = np.arange(len(bucket)), 1, [], 0
         while nearest is None or k <= nearest:
             here = here[here + k < len(bucket)]
             # Sizes only grow, so what is out of reach of ``here`` stays so.
-            here = here[(bucket[here] == bucket[here + k]) & (5 * size[here].astype(np.int64) >= 4 * size[here + k].astype(np.int64))]
+            here = here[(bucket[here] == bucket[here + k]) & (5 * size[here] >= 4 * size[here + k])]
             if not len(here):
                 break
             there = here + k
-            near = (root[here] != root[there]) & (9 * (place[here].astype(np.int64) + place[there]) <= size[here].astype(np.int64) + size[there])
+            near = (root[here] != root[there]) & (9 * (place[here] + place[there]) <= size[here] + size[there])
             left, right = here[near], there[near]
-            if bits is not None and len(left):
-                parts = [np.bitwise_count(bits[left[k:k + BLOCK]] ^ bits[right[k:k + BLOCK]]).sum(axis=1, dtype=np.int64) for k in range(0, len(left), BLOCK)]
-                close = 9 * np.concatenate(parts) <= size[left].astype(np.int64) + size[right]
-                left, right = left[close], right[close]
-            a, b = node[left], node[right]
-            waiting.append((np.minimum(a, b), np.maximum(a, b)))
-            held += len(a)
-            if held > BLOCK:
-                yield _pairs(waiting)
-                waiting, held = [], 0
+            differ = np.concatenate([np.zeros(0, np.int64), *[differing(sketch, width, left[j:j + BLOCK], right[j:j + BLOCK]) for j in range(0, len(left), BLOCK)]])
+            close = 9 * differ <= size[left] + size[right]
+            left, right, differ = left[close], right[close], differ[close]
+            if best:
+                for own, other in ((left, right), (right, left)):
+                    less = differ < least[own]
+                    least[own[less]], partner[own[less]] = differ[less], other[less]
+            else:
+                waiting.append((node[left], node[right], differ))
+                held += len(left)
+                if held > BLOCK:
+                    yield _pairs(waiting)
+                    waiting, held = [], 0
             k += 1
+        if best:
+            has = np.flatnonzero(least <= PARITY)
+            waiting, held = [(node[has], node[partner[has]], least[has])], len(has)
         if held:
             yield _pairs(waiting)
 
-    return whole_buckets(entries, columns, make, "u long, v long").distinct()
+    columns = ["bucket", "node", "size", "place", "root", "bits"]
+    return whole_buckets(entries, columns, make, "u long, v long, differ long").groupBy("u", "v").agg(F.min("differ").alias("differ"))
 
 
-def _pairs(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(c) for c in zip(*waiting)], axis=1), axis=0)
-    return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
+def _pairs(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, differ = (np.concatenate(c) for c in zip(*waiting))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), differ], axis=1), axis=0)
+    return pa.record_batch([pa.array(both[:, k].copy()) for k in range(3)], names=["u", "v", "differ"])
 
 
-def parity_bits(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """``PARITY`` bits of each set, a row of numbers each. Two sets differ in at least as many shingles as in bits."""
+def parity_bits(shingles: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """``PARITY`` bits of each set, fewer for small ones. Two sets differ in at least as many shingles as in bits."""
     rows = len(begin) - 1
     at = np.repeat(np.arange(rows), np.diff(begin)) * PARITY + (shingles % np.uint64(PARITY)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=rows * PARITY).astype(np.uint8).reshape(rows, PARITY) & 1, axis=1, bitorder="little").view(np.uint64)
-
-
-def within_parity(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, v, differ) of the pairs whose bits, differing in so many places, do not rule out that they are similar."""
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(batch.column(c).cast(pa.binary(PARITY // 8)).buffers()[1], np.uint64)[batch.column(c).offset * PARITY // 64:][:batch.num_rows * PARITY // 64]
-                    .reshape(-1, PARITY // 64) for c in ("a", "b"))
-            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            use = pa.array(9 * differ <= batch.column("n").to_numpy())
-            yield pa.record_batch([batch.column("u").filter(use), batch.column("v").filter(use), pa.array(differ).filter(use)], names=["u", "v", "differ"])
-
-    nodes = rows.groupBy("fp").agg(F.min("bits").alias("bits"), F.min("size").alias("size"))
-    left = nodes.select(F.col("fp").alias("u"), F.col("bits").alias("a"), F.col("size").alias("m"))
-    right = nodes.select(F.col("fp").alias("v"), F.col("bits").alias("b"), "size")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("m") + F.col("size")).alias("n")).mapInArrow(run, "u long, v long, differ long")
+    full = np.packbits(np.bincount(at, minlength=rows * PARITY).astype(np.uint8).reshape(rows, PARITY) & 1, axis=1, bitorder="little").view(np.uint64)
+    out: list[bytes] = [b""] * rows
+    width, size = PARITY, np.diff(begin)
+    while True:
+        # Fewer than three fifths as many bits as shingles would not tell unrelated texts apart.
+        less = (5 * width // 2 >= 3 * size) if width > FEWEST else np.zeros(rows, bool)
+        for k in np.flatnonzero(~less):
+            out[k] = out[k] or full[k].tobytes()
+        if not less.any():
+            return out
+        width //= 2
+        full, size = full[:, :width // 64] ^ full[:, width // 64:], np.where(less, size, PARITY * PARITY)
+
+
+def unfolded(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of numbers, zeros after the end of shorter ones, and how many numbers each has."""
+    width = np.array([len(b) // 8 for b in bits], np.int64)
+    sketch = np.zeros((len(bits), PARITY // 64), np.uint64)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        sketch[own, :w] = np.frombuffer(b"".join(bits[own].tolist()), np.uint64).reshape(-1, w)
+    return sketch, width
+
+
+def differing(sketch: np.ndarray, width: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches differ, the longer one folded to the length of the shorter."""
+    sides, short = [], np.minimum(width[left], width[right])
+    for own in (left, right):
+        rows, wide = sketch[own], width[own].copy()
+        while (wide > short).any():
+            for w in np.unique(wide[wide > short]):
+                at = np.flatnonzero((wide == w) & (wide > short))
+                rows[at, :w // 2] ^= rows[at, w // 2:w]
+                rows[at, w // 2:w] = 0
+                wide[at] = w // 2
+        sides.append(rows)
+    return np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v) of the pairs whose sets, made again from one text for each node, are similar."""
     nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    wanted = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("one")).select("one.*").distinct()
+    # Kept, so that its size is known and the texts need not be shuffled to meet it.
+    wanted = keep(rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("one")).select("one.*").distinct())
     texts = docs.select("text", _hash().alias("_hash"), F.col("doc_id").cast("long").alias("_id")).join(
         wanted, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
 
@@ -214,7 +250,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("u").filter(pa.array(keeps)), batch.column("v").filter(pa.array(keeps))], names=["u", "v"])
 
     # Repeated rows give the same set again.
-    sets = keep(_per_text(texts, ["text"], "node long, n long, shingles binary", make).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    sets = _per_text(texts, ["text"], "node long, n long, shingles binary", make).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     left = sets.select(F.col("node").alias("u"), F.col("n").alias("m"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), "n", F.col("shingles").alias("b"))
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "m", "b", "n").mapInArrow(compare, "u long, v long")
@@ -226,11 +262,13 @@ def nearest_partners(pairs: DataFrame) -> DataFrame:
     return partner("u", "v").union(partner("v", "u")).distinct()
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components."""
-    at = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
-    placed = pairs.join(at("u", "_p"), "u", "left").join(at("v", "_q"), "v", "left")
-    return placed.filter(F.coalesce("_p", "u") != F.coalesce("_q", "v")).drop("_p", "_q")
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v), u < v, of (node, sim): sets with the same fingerprint, and one pair for each link of two fingerprints."""
+    firsts = keep(nodes.groupBy("sim").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "sim").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    at = lambda fp, node: firsts.select(F.col("sim").alias(fp), F.col("first").alias(node))
+    links = forest(firsts.select(F.col("sim").alias("fp"))).distinct().join(at("u", "_u"), "u").join(at("v", "_v"), "v")
+    return same.union(links.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))).distinct()
 
 
 def _hash() -> Column:
@@ -240,24 +278,27 @@ def _hash() -> Column:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, component_id), a row for each row of ``docs``; ``fp`` is the number of the text's set."""
     def make(batch, shingles, begin):
-        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(shingles, begin)), pa.array(np.diff(begin)),
-                                pa.array([b.tobytes() for b in parity_bits(shingles, begin)], pa.binary())], names=["doc_id", "text_hash", "fp", "size", "bits"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(shingles, begin)), pa.array(parity_bits(shingles, begin), pa.binary()),
+                                pa.array(simhash_of_sets(shingles, begin).view(np.int64))], names=["doc_id", "text_hash", "fp", "bits", "sim"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _hash().alias("text_hash"))
-    rows = keep(_per_text(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, fp long, size long, bits binary", make))
-    entries = keep(file_entries(docs, common_shingles(named)))
-    pairs = keep(within_parity(keep(candidates(entries.withColumn("root", F.col("node")), NEAREST)), rows))
-    first = keep(nearest_partners(pairs))
-    close = keep(verified(first, docs, rows))
+    rows = keep(_per_text(named, ["doc_id", "text", "text_hash"], "doc_id long, text_hash long, fp long, bits binary, sim long", make))
+    nodes = keep(rows.groupBy(F.col("fp").alias("node")).agg(F.min("bits").alias("bits"), F.min("sim").alias("sim")))
+    tried = keep(fingerprint_pairs(nodes.select("node", "sim")))
+    close = keep(verified(tried, docs, rows))
     roots = keep(components(close))
-    others = keep(apart(pairs.join(first, ["u", "v"], "left_anti"), roots))
-    if not others.isEmpty():
-        close = keep(close.union(verified(others, docs, rows)))
-        roots = keep(components(close))
-    placed = keep(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    bits = rows.groupBy(F.col("fp").alias("node")).agg(F.min("bits").alias("bits"))
-    rest = keep(candidates(placed.join(mixed, "bucket", "left_semi").join(bits, "node"), None).join(pairs, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(close.union(verified(rest, docs, rows)))
+    entries = keep(file_entries(docs, common_shingles(named)))
+    for nearest, best in ((NEAREST, True), (None, True), (None, True), (None, False)):
+        known = nodes.join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+        found = keep(candidates(entries.join(known, "node"), nearest, best))
+        pairs = keep((nearest_partners(found) if best else found.select("u", "v")).join(tried, ["u", "v"], "left_anti"))
+        if not pairs.isEmpty():
+            close = keep(close.union(verified(pairs, docs, rows)))
+            roots = keep(components(close))
+            tried = tried.union(pairs)
+        if nearest is None:
+            if found.isEmpty():
+                break
+            # Whoever has no partner in another component now will never have one.
+            entries = entries.join(found.select(F.col("u").alias("node")).union(found.select("v")).distinct(), "node", "left_semi")
     return group_ids(rows.select("doc_id", "text_hash", "fp"), roots)

@@ -50,13 +50,29 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k in range(0, len(begin), BLOCK):
         own = slice(k, k + BLOCK)
         hashes = np.array([digest(text[a:b], SEED) for a, b in zip(starts[begin[own]].tolist(), end[own].tolist())], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = row[begin[own]]
-        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        votes[at[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+        _vote(votes, hashes, row[begin[own]])
+    return _majority(votes, total)
+
+
+def _vote(votes: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    votes[at[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+
+
+def _majority(votes: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def simhash_of_sets(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set of hashes, which lie one set after the other."""
+    rows, total = len(begin) - 1, np.diff(begin)
+    votes, at = np.zeros((rows, BITS), np.int64), np.repeat(np.arange(rows), total)
+    for k in range(0, len(hashes), BLOCK):
+        _vote(votes, hashes[k:k + BLOCK], at[k:k + BLOCK])
+    return _majority(votes, total)
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text) -> (doc_id, text_hash, fp); ``fp`` holds the 64 bits as a signed number."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
@@ -278,8 +294,8 @@ def probe(entries: DataFrame) -> DataFrame:
     return entries.select("bucket", "fp", "role").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
-def linked(fps: DataFrame) -> DataFrame:
-    """(fp), distinct -> (node, root) of the fingerprints that have a link."""
+def forest(fps: DataFrame) -> DataFrame:
+    """(fp), distinct -> (u, v): links that join all linked fingerprints."""
     count = fps.count()
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
     plan = allocate(np.array([r.fp for r in sample], np.int64).view(np.uint64), count)
@@ -295,7 +311,12 @@ def linked(fps: DataFrame) -> DataFrame:
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
-    return components(links)
+    return links
+
+
+def linked(fps: DataFrame) -> DataFrame:
+    """(fp), distinct -> (node, root) of the fingerprints that have a link."""
+    return components(forest(fps))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -319,8 +340,12 @@ def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = ne
                 .groupBy("doc_id", "fp").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash"))
     marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     found = marked.join(stay, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
+    # Only rows that repeat meet; the texts of all others stay where they are.
+    repeated = keep(rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
     one = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    return found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_row.*")
+    first = found.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    return found.join(repeated, same, "left_anti").unionByName(first).select("_row.*")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
