@@ -52,3 +52,35 @@ def test_a_group_of_near_copies_hands_on_no_more_pairs_than_it_has_entries(spark
     assert best.count() <= entries.count() and best.subtract(every).isEmpty()
     similar = sum(5 * len(plain(s) & plain(t)) >= 4 * len(plain(s) | plain(t)) for i, (_, s) in enumerate(texts) for _, t in texts[:i])
     assert every.count() >= similar > 10 * copies
+
+
+def test_long_sketches_rule_out_what_short_ones_cannot():
+    texts = [edited(prose(9, 6000), k, 0.03 * k) for k in range(4)]
+    hashes, begin = sets_of(texts)
+    bits = shingles.parity_bits(hashes, begin, shingles.LONGEST, shingles.FINER)
+    ids = np.arange(4)[::-1].copy()
+    known = shingles.Sketches(ids, bits)
+    own = [set(hashes[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    left, right = np.triu_indices(4, 1)
+    size = np.array([len(x) for x in own])
+    a, b, differ = known.close(left, right, known.place_of(ids[np.arange(4)]), size)
+    assert all(d <= len(own[i] ^ own[j]) for i, j, d in zip(a, b, differ))
+    similar = {(i, j) for i, j in zip(left, right) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])}
+    assert similar <= set(zip(a, b)) and len(a) < len(left)
+    short = shingles.Sketches(ids, shingles.parity_bits(hashes, begin))
+    assert len(short.close(left, right, short.place_of(ids), size)[0]) == len(left)
+
+
+def test_long_texts_that_only_share_a_shingle_hand_on_no_pairs(spark):
+    texts = [prose(100 + k, 4000) for k in range(20)]
+    hashes, begin = sets_of(texts)
+    bits = shingles.parity_bits(hashes, begin, shingles.LONGEST, shingles.FINER)
+    nodes = spark.createDataFrame([(k, b) for k, b in enumerate(bits)], "node long, bits binary")
+    size = np.diff(begin)
+    entries = spark.createDataFrame([(bucket, k, int(size[k]), 0, k) for bucket in (5, 6) for k in range(20)], "bucket long, node long, size int, place int, root long")
+    assert shingles.candidates(entries, None, False, nodes).isEmpty()
+    # A copy is found, once, though it meets the other in both buckets and their sketches are of different lengths.
+    copy = entries.filter("node = 3").withColumn("node", F.lit(99).cast("long")).withColumn("root", F.col("node"))
+    more = nodes.union(nodes.filter("node = 3").withColumn("node", F.lit(99).cast("long")))
+    for best in (False, True):
+        assert [tuple(r) for r in shingles.candidates(entries.union(copy), None, best, more).collect()] == [(3, 99, 0)]

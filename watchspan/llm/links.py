@@ -27,13 +27,14 @@ def components(links: DataFrame) -> DataFrame:
     of the longest chain. Hot nodes are pre-aggregated, and the join side that holds them can be split.
     """
     links = keep(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(links)
-    while before[0]:
+    while not _all_stars(links):
         links = keep(_stars(_stars(links, True), False))
-        after = mark(links)
-        if after == before:
-            break
-        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every larger end has one link and no lesser end is a larger one elsewhere."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()

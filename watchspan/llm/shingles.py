@@ -4,14 +4,15 @@ Shingles are five words in a row (lower-cased A-Z, parted by ASCII white space)
 one shingle. Texts with equal sets are one node. Two sets of a and b shingles at 0.8 or more differ in at most (a + b) / 9,
 so in any order of all shingles they share one in the first fifth of both; each set is filed under those. A pair that meets
 in a bucket is looked at if its places there leave at most (a + b) / 9 for what differs before, and is then verified on the
-whole sets, unless a sketch of parity bits shows already that they differ in more. Shingles found often in a sample come
+whole sets, unless a sketch of parity bits, as long as the set needs, shows already that they differ in more. Shingles found often in a sample come
 last in the order, which keeps common passages out of the buckets; the order does not change what is found.
 
 SimHash comes first: sets whose fingerprints link (``simhash.forest``) are verified and joined. What fingerprints miss (many
 copies at 0.8 differ in more than three bits) is looked for in the buckets, there only between different components. An entry
 hands on its partner with the fewest differing bits of the sketch: first of its neighbours by size, then, twice, of the whole
 bucket, and what these links left apart is at last compared pair by pair. So a group of copies sends on rows in proportion to
-its entries, and no pair is verified twice.
+its entries, and no pair is verified twice. Buckets are dealt in parts, and each part gets one sketch of every set it has entries
+of; a pair that meets in many buckets of a part leaves it once.
 
 Defined cases: texts without a word have the same empty set; repeated rows each get a row; a null ``doc_id`` is no candidate
 for ``component_id`` (null only if nobody else is in the component); an empty table gives none; other columns are ignored.
@@ -39,8 +40,10 @@ WORDS = 5
 SAMPLE, OFTEN, MOST = 10_000, 8, 400_000
 #: Neighbours by size that are verified first, and pairs handed on at a time.
 NEAREST, BLOCK = 3, 1 << 18
-#: Bits of the sketch that rules pairs out before their sets are compared, at most and at least.
-PARITY, FEWEST = 1024, 128
+#: Bits of the sketch that rules pairs out before their sets are compared: looked at first, at least, and of very long sets.
+PARITY, FEWEST, LONGEST, FINER = 1024, 128, 1 << 17, 2
+#: Entries of a part of the buckets, parts at least, and numbers of long sketches compared at a time.
+PART, PARTS, WORDS_AT_ONCE = 1 << 19, 24, 1 << 22
 ENTRY = "bucket long, node long, size int, place int"
 
 
@@ -130,22 +133,26 @@ def whole_buckets(entries: DataFrame, columns: list[str], make: Callable, out: s
     return entries.select(*columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
 
 
-def candidates(entries: DataFrame, nearest: int | None, best: bool) -> DataFrame:
+def candidates(entries: DataFrame, nearest: int | None, best: bool, bits: DataFrame | None = None) -> DataFrame:
     """(u, v, differ), u < v: pairs of a bucket with different ``root`` whose bits do not rule out that they are similar.
 
     ``nearest``: only so many neighbours by size; ``best``: for each entry the partner with the fewest differing bits.
+    ``bits`` holds the sketch of each node, if the entries do not.
     """
-    def make(bucket, node, size, place, root, bits):
+    bits = entries.select("node", "bits").distinct() if bits is None else bits
+    columns = ["bucket", "node", "size", "place", "root"]
+
+    def make(sketches, bucket, node, size, place, root):
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(bucket))))
         mixed = np.logical_or.reduceat(root != root[first][number], first)[number]
-        bucket, node, size, place, root, bits = (c[mixed] for c in (bucket, node, size, place, root, bits))
+        bucket, node, size, place, root = (c[mixed] for c in (bucket, node, size, place, root))
         order = np.lexsort((node, size, bucket))
-        bucket, node, size, place, root, bits = (c[order] for c in (bucket, node, size, place, root, bits))
-        sketch, width = unfolded(bits)
+        bucket, node, size, place, root = (c[order] for c in (bucket, node, size, place, root))
+        own_sketch = sketches.place_of(node)
         size, place = size.astype(np.int64), place.astype(np.int64)
-        least, partner = np.full(len(node), PARITY + 1, np.int64), np.zeros(len(node), np.int64)
-        here, k, waiting, held = np.arange(len(bucket)), 1, [], 0
+        least, partner = np.full(len(node), np.iinfo(np.int64).max), np.zeros(len(node), np.int64)
+        here, k = np.arange(len(bucket)), 1
         while nearest is None or k <= nearest:
             here = here[here + k < len(bucket)]
             # Sizes only grow, so what is out of reach of ``here`` stays so.
@@ -154,39 +161,140 @@ def candidates(entries: DataFrame, nearest: int | None, best: bool) -> DataFrame
                 break
             there = here + k
             near = (root[here] != root[there]) & (9 * (place[here] + place[there]) <= size[here] + size[there])
-            left, right = here[near], there[near]
-            differ = np.concatenate([np.zeros(0, np.int64), *[differing(sketch, width, left[j:j + BLOCK], right[j:j + BLOCK]) for j in range(0, len(left), BLOCK)]])
-            close = 9 * differ <= size[left] + size[right]
-            left, right, differ = left[close], right[close], differ[close]
+            left, right, differ = sketches.close(here[near], there[near], own_sketch, size)
             if best:
                 for own, other in ((left, right), (right, left)):
                     less = differ < least[own]
                     least[own[less]], partner[own[less]] = differ[less], other[less]
-            else:
-                waiting.append((node[left], node[right], differ))
-                held += len(left)
-                if held > BLOCK:
-                    yield _pairs(waiting)
-                    waiting, held = [], 0
+            elif len(left):
+                yield node[left], node[right], differ
             k += 1
         if best:
-            has = np.flatnonzero(least <= PARITY)
-            waiting, held = [(node[has], node[partner[has]], least[has])], len(has)
-        if held:
-            yield _pairs(waiting)
-
-    columns = ["bucket", "node", "size", "place", "root", "bits"]
-    return whole_buckets(entries, columns, make, "u long, v long, differ long").groupBy("u", "v").agg(F.min("differ").alias("differ"))
+            has = np.flatnonzero(least < np.iinfo(np.int64).max)
+            if len(has):
+                yield node[has], node[partner[has]], least[has]
 
+    def run(batches):
+        part, sketches, ids, blobs, rest, waiting, held = None, None, [], [], None, [], 0
+
+        def collect(cells):
+            """Adds the pairs of whole buckets; gives some back when too many wait."""
+            nonlocal waiting, held
+            for a, b, differ in make(sketches, *cells):
+                waiting.append((a, b, differ))
+                held += len(a)
+                if held > BLOCK:
+                    waiting = [_once(waiting)]
+                    held = len(waiting[0][0])
+                    if 2 * held > BLOCK:
+                        yield _pairs(waiting)
+                        waiting, held = [], 0
+
+        def finish():
+            nonlocal waiting, held
+            if rest is not None:
+                yield from collect(rest)
+            if held:
+                yield _pairs(waiting)
+            waiting, held = [], 0
 
-def _pairs(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        for batch in batches:
+            number = batch.column("part").to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if begin == end:
+                    continue
+                if number[begin] != part:
+                    yield from finish()
+                    part, sketches, ids, blobs, rest = number[begin], None, [], [], None
+                # The sketches of a part come before its buckets.
+                piece = batch.slice(begin, end - begin)
+                sent = piece.num_rows - piece.column("bits").null_count
+                if sent:
+                    ids.append(piece.column("node").slice(0, sent).to_numpy(zero_copy_only=False))
+                    blobs += piece.column("bits").slice(0, sent).to_pylist()
+                if sent == piece.num_rows:
+                    continue
+                if sketches is None:
+                    sketches, blobs = Sketches(np.concatenate(ids), blobs), []
+                own = [piece.column(c).slice(sent).to_numpy(zero_copy_only=False) for c in columns]
+                rest = own if rest is None else [np.concatenate(c) for c in zip(rest, own)]
+                whole = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on in the next batch
+                if whole:
+                    yield from collect([c[:whole] for c in rest])
+                    rest = [c[whole:] for c in rest]
+        yield from finish()
+
+    parts = entries.count() // PART + PARTS
+    dealt = entries.select(F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int").alias("part"), *columns)
+    sent = dealt.select("part", "node").distinct().join(bits, "node")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("bucket", "long"), ("size", "int"), ("place", "int"), ("root", "long"))}
+    rows = dealt.withColumn("bits", F.lit(None).cast("binary")).unionByName(sent.withColumns(none))
+    found = rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("bucket")).mapInArrow(run, "u long, v long, differ long")
+    return found.groupBy("u", "v").agg(F.min("differ").alias("differ"))
+
+
+def _once(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b, differ = (np.concatenate(c) for c in zip(*waiting))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), differ], axis=1), axis=0)
-    return pa.record_batch([pa.array(both[:, k].copy()) for k in range(3)], names=["u", "v", "differ"])
+    return tuple(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), differ], axis=1), axis=0).T.copy())
 
 
-def parity_bits(shingles: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """``PARITY`` bits of each set, fewer for small ones. Two sets differ in at least as many shingles as in bits."""
+def _pairs(waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in _once(waiting)], names=["u", "v", "differ"])
+
+
+class Sketches:
+    """The sketches of a part's sets: folded to ``PARITY`` bits or fewer for a first look, and those of long sets whole."""
+
+    def __init__(self, ids: np.ndarray, blobs: list[bytes]):
+        order = np.argsort(ids)
+        self.ids, bits = ids[order], np.array(blobs, object)[order]
+        self.sketch, self.width = unfolded(bits)
+        self.whole = np.array([len(b) // 8 for b in bits], np.int64)
+        long = np.flatnonzero(self.whole > self.width)
+        self.words = np.frombuffer(b"".join(bits[long].tolist()), np.uint64)
+        self.begin = np.zeros(len(bits), np.int64)
+        self.begin[long] = np.cumsum(self.whole[long]) - self.whole[long]
+
+    def place_of(self, node: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, node)
+
+    def close(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose sketches differ in few enough bits, and in how many."""
+        out = [(left[:0], right[:0], np.zeros(0, np.int64))]
+        for j in range(0, len(left), BLOCK):
+            a, b = left[j:j + BLOCK], right[j:j + BLOCK]
+            differ = differing(self.sketch, self.width, at[a], at[b])
+            close = 9 * differ <= size[a] + size[b]
+            a, b, differ = a[close], b[close], differ[close]
+            long = np.flatnonzero(np.minimum(self.whole[at[a]], self.whole[at[b]]) > PARITY // 64)
+            if len(long):
+                differ[long] = self._long(at[a[long]], at[b[long]])
+                close = 9 * differ <= size[a] + size[b]
+                a, b, differ = a[close], b[close], differ[close]
+            out.append((a, b, differ))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _long(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        differ = np.zeros(len(left), np.int64)
+        for m, n in np.unique(np.stack([self.whole[left], self.whole[right]], axis=1), axis=0).tolist():
+            own, step = np.flatnonzero((self.whole[left] == m) & (self.whole[right] == n)), max(1, WORDS_AT_ONCE // (m + n))
+            for j in range(0, len(own), step):
+                k = own[j:j + step]
+                a, b = (folded(self.words[self.begin[side[k]][:, None] + np.arange(w)], min(m, n)) for side, w in ((left, m), (right, n)))
+                differ[k] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return differ
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1)
+
+
+def parity_bits(shingles: np.ndarray, begin: np.ndarray, most: int = PARITY, finer: int = 1) -> list[bytes]:
+    """``PARITY`` bits of each set, fewer for small ones, up to ``most`` for long ones; ``finer`` times as many for each.
+
+    Two sets differ in at least as many shingles as in bits.
+    """
     rows = len(begin) - 1
     at = np.repeat(np.arange(rows), np.diff(begin)) * PARITY + (shingles % np.uint64(PARITY)).astype(np.int64)
     full = np.packbits(np.bincount(at, minlength=rows * PARITY).astype(np.uint8).reshape(rows, PARITY) & 1, axis=1, bitorder="little").view(np.uint64)
@@ -194,23 +302,31 @@ def parity_bits(shingles: np.ndarray, begin: np.ndarray) -> list[bytes]:
     width, size = PARITY, np.diff(begin)
     while True:
         # Fewer than three fifths as many bits as shingles would not tell unrelated texts apart.
-        less = (5 * width // 2 >= 3 * size) if width > FEWEST else np.zeros(rows, bool)
+        less = (5 * width // 2 >= 3 * finer * size) if width > FEWEST else np.zeros(rows, bool)
         for k in np.flatnonzero(~less):
             out[k] = out[k] or full[k].tobytes()
         if not less.any():
-            return out
+            break
         width //= 2
         full, size = full[:, :width // 64] ^ full[:, width // 64:], np.where(less, size, PARITY * PARITY)
+    for k in np.flatnonzero(5 * PARITY < 3 * finer * np.diff(begin)):
+        own, width = shingles[begin[k]:begin[k + 1]], PARITY
+        while width < most and 5 * width < 3 * finer * len(own):
+            width *= 2
+        if width > PARITY:
+            out[k] = np.packbits((np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return out
 
 
 def unfolded(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as rows of numbers, zeros after the end of shorter ones, and how many numbers each has."""
+    """Sketches as rows of numbers, longer ones folded, zeros after the end of shorter ones, and how many numbers each has."""
     width = np.array([len(b) // 8 for b in bits], np.int64)
     sketch = np.zeros((len(bits), PARITY // 64), np.uint64)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        sketch[own, :w] = np.frombuffer(b"".join(bits[own].tolist()), np.uint64).reshape(-1, w)
-    return sketch, width
+        rows = np.frombuffer(b"".join(bits[own].tolist()), np.uint64).reshape(-1, w)
+        sketch[own, :min(w, PARITY // 64)] = folded(rows, min(w, PARITY // 64))
+    return sketch, np.minimum(width, PARITY // 64)
 
 
 def differing(sketch: np.ndarray, width: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -278,7 +394,7 @@ def _hash() -> Column:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, component_id), a row for each row of ``docs``; ``fp`` is the number of the text's set."""
     def make(batch, shingles, begin):
-        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(shingles, begin)), pa.array(parity_bits(shingles, begin), pa.binary()),
+        return pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(node_of(shingles, begin)), pa.array(parity_bits(shingles, begin, LONGEST, FINER), pa.binary()),
                                 pa.array(simhash_of_sets(shingles, begin).view(np.int64))], names=["doc_id", "text_hash", "fp", "bits", "sim"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _hash().alias("text_hash"))
@@ -289,8 +405,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     roots = keep(components(close))
     entries = keep(file_entries(docs, common_shingles(named)))
     for nearest, best in ((NEAREST, True), (None, True), (None, True), (None, False)):
-        known = nodes.join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
-        found = keep(candidates(entries.join(known, "node"), nearest, best))
+        placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = keep(candidates(placed, nearest, best, nodes.select("node", "bits")))
         pairs = keep((nearest_partners(found) if best else found.select("u", "v")).join(tried, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
             close = keep(close.union(verified(pairs, docs, rows)))
