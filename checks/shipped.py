@@ -10,7 +10,7 @@ from checks.tables import events, text_id, utc
 from watchspan.operators.matching import match_events
 from watchspan.plans.detect import detect
 from watchspan.rules import load_rules
-from watchspan.session import shared_folder
+from watchspan.session import local_table, shared_folder
 from watchspan.sources.ingest import EventTable, read_logs
 
 QUERIES: dict = {}
@@ -97,8 +97,8 @@ LINES = [(scene, step, at, source, fields, plain) for scene, (lines, _) in enume
 
 def scenes(spark, sf_dir):
     """The lines of all scenes as stored events."""
-    steps = spark.createDataFrame([(scene, step, float(at), source, fields) for scene, step, at, source, fields, _ in LINES],
-                                  "scene long, step int, at double, source string, fields map<string,string>")
+    steps = local_table(spark, [(scene, step, float(at), source, list(fields.items())) for scene, step, at, source, fields, _ in LINES],
+                        "scene long, step int, at double, source string, fields map<string,string>")
     us = F.unix_micros(utc()) + (F.col("at") * 1_000_000).cast("bigint")
     acts = events(spark, sf_dir).withColumn("scene", F.col("event_id") % len(SCENES)).join(steps, "scene").withColumn("who", F.concat(F.lit("n"), "event_id"))
     return acts.select(

@@ -143,8 +143,8 @@ def with_alert_id(bursts: DataFrame) -> DataFrame:
 def find_bursts(matches: DataFrame, correlations: list[Correlation], prune: bool = False) -> DataFrame:
     """Bursts of all given event_count, value_count, temporal and merge correlations.
 
-    ``prune`` leaves out groups that cannot fire before anything is put in order. Rows per group are counted at
-    once, as dense groups are done in another way.
+    ``prune`` leaves out groups that cannot fire before anything is put in order. Instants are stored, so that the matches
+    are gone through once; points per group are counted on them, as dense groups are done in another way.
     """
     def rows_of(chosen: list[Correlation]) -> DataFrame:
         rows = members(matches, chosen)
@@ -158,19 +158,13 @@ def find_bursts(matches: DataFrame, correlations: list[Correlation], prune: bool
         rows = [members(matches, merges)] if merges else []
         rows += [rows_of(counting)] if counting else []
         rows = reduce(DataFrame.unionByName, rows)
-        instants = _counted(rows, _conditions(matches, merges + counting))
-        if dense.has_dense_groups(rows):
-            instants = stable_storage(instants)
-            parts.append(_live_counts(instants, dense.cuts_of(_points(instants))))
-        else:
-            parts.append(_live_counts(instants, None))
+        instants = stable_storage(_counted(rows, _conditions(matches, merges + counting)))
+        parts.append(_live_counts(instants, dense.cuts_of(_points(instants)) if dense.has_dense_groups(_points(instants)) else None))
     if distinct:
         asks_for_none = any(c.limit == ("eq", 0) for c in distinct)
         rows = rows_of(distinct)
-        per_value, cuts = _per_value(rows, _conditions(matches, distinct), asks_for_none), None
-        if dense.has_dense_groups(rows):
-            per_value = stable_storage(per_value)
-            cuts = dense.cuts_of(_points(per_value))
+        per_value = stable_storage(_per_value(rows, _conditions(matches, distinct), asks_for_none))
+        cuts = dense.cuts_of(_points(per_value)) if dense.has_dense_groups(_points(per_value)) else None
         instants = _distinct(per_value, asks_for_none, cuts)
         parts.append(_live_counts(instants if cuts is None else stable_storage(instants), cuts))
     return with_alert_id(reduce(DataFrame.unionByName, [_sessions(live) for live in parts]))

@@ -21,9 +21,9 @@ PER_BUCKET = 250_000
 BLOCK = 64
 
 
-def has_dense_groups(rows: DataFrame) -> bool:
-    """Whether some group has more rows than one task should order. Counted on the map side first."""
-    return not rows.groupBy(*GROUP).count().filter(F.col("count") > PER_BUCKET).isEmpty()
+def has_dense_groups(points: DataFrame) -> bool:
+    """Whether some group has more points than one task should order. Counted on the map side first."""
+    return not points.groupBy(*GROUP).count().filter(F.col("count") > PER_BUCKET).isEmpty()
 
 
 def cuts_of(points: DataFrame) -> DataFrame:

@@ -64,8 +64,10 @@ def correlate(matches: DataFrame, levels: list[list[Correlation]],
     all_bursts: list[DataFrame] = []
     evidence: list[DataFrame] = []
     counts: list[DataFrame] = []
-    for level in levels:
+    for depth, level in enumerate(levels):
         inner = union_all(evidence)
+        # What a later level looks its events up in is read again for the alerts.
+        again = {r for later in levels[depth + 1:] for c in later for r in c.rules}
         found: list[DataFrame] = []
         for ordered in (False, True):
             chosen = [c for c in level if (c.kind == "temporal_ordered") == ordered]
@@ -79,7 +81,9 @@ def correlate(matches: DataFrame, levels: list[list[Correlation]],
             behind = events_behind(rows, list(by_name), inner if on_alerts else None)
             twice = [c.name for c in chosen if _same_event_twice(c, by_name)]
             if len(twice) < len(chosen):
-                evidence.append(behind.filter(~F.col("rule").isin(twice)) if twice else behind)
+                plain = behind.filter(~F.col("rule").isin(twice)) if twice else behind
+                referred = again & {c.name for c in chosen if c.kind != "merge"} - set(twice)
+                evidence.append(keep(plain) if referred else plain)
             if twice:
                 single = keep(once_each(behind.filter(F.col("rule").isin(twice))))
                 evidence.append(single)
