@@ -84,3 +84,14 @@ def test_long_texts_that_only_share_a_shingle_hand_on_no_pairs(spark):
     more = nodes.union(nodes.filter("node = 3").withColumn("node", F.lit(99).cast("long")))
     for best in (False, True):
         assert [tuple(r) for r in shingles.candidates(entries.union(copy), None, best, more).collect()] == [(3, 99, 0)]
+
+
+def test_a_batch_is_made_into_sets_in_small_pieces(spark):
+    def make(batch, hashes, begin):
+        assert len(begin) == batch.num_rows + 1
+        return pa.record_batch([pa.array([batch.num_rows]), pa.array([sum(len(t.encode()) for t in batch.column("text").to_pylist())])], names=["n", "size"])
+
+    docs = documents(spark, [(k, prose(k, 300)) for k in range(400)] + [(400, prose(7, 60_000))])
+    made = shingles._per_text(docs.coalesce(1), ["text"], "n long, size long", make).collect()
+    assert sum(r.n for r in made) == 401
+    assert all(r.n == 1 or r.size <= 1 << 18 for r in made) and max(r.size for r in made) > 1 << 18

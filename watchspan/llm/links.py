@@ -9,15 +9,18 @@ from watchspan.llm.common import keep
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """Large: every larger neighbour of a node points to the node's least neighbour. Small: the node and its lesser ones do."""
+    """Large: every larger neighbour of a node points to the node's least neighbour. Small: the node and its lesser ones do.
+
+    Each link gives one link, so neither step has to be made distinct for the next.
+    """
     if large:
         sides = links.union(links.select("v", "u"))
         least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # The link to the least one stands for the node itself.
+    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = keep(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _all_stars(links):
-        links = keep(_stars(_stars(links, True), False))
+        links = keep(_stars(_stars(links, True), False).distinct())
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 

@@ -44,6 +44,8 @@ NEAREST, BLOCK = 3, 1 << 18
 PARITY, FEWEST, LONGEST, FINER = 1024, 128, 1 << 17, 2
 #: Entries of a part of the buckets, parts at least, and numbers of long sketches compared at a time.
 PART, PARTS, WORDS_AT_ONCE = 1 << 19, 24, 1 << 22
+#: Bytes of text made into sets at a time; the arrays on the way take many times as much.
+TEXT = 1 << 18
 ENTRY = "bucket long, node long, size int, place int"
 
 
@@ -73,7 +75,7 @@ def node_of(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def _per_text(docs: DataFrame, columns: list[str], out: str, make: Callable) -> DataFrame:
     """``make`` gets a batch of ``columns`` and the sets of its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT):
             yield make(batch, *shingle_sets(*flat(batch.column("text"))))
 
     return docs.select(*columns).mapInArrow(run, out)
@@ -348,7 +350,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v) of the pairs whose sets, made again from one text for each node, are similar."""
     nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     # Kept, so that its size is known and the texts need not be shuffled to meet it.
-    wanted = keep(rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("one")).select("one.*").distinct())
+    wanted = keep(rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("one")).select("one.*"))
     texts = docs.select("text", _hash().alias("_hash"), F.col("doc_id").cast("long").alias("_id")).join(
         wanted, (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
 
